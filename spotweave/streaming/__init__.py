@@ -1,0 +1 @@
+"""spotweave.streaming"""
