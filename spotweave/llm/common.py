@@ -62,4 +62,4 @@ def partitions(spark: SparkSession) -> int:
 
 def row_tag(text: Column) -> Column:
     """Tells rows that share a doc_id apart by their texts (int)."""
-    return F.xxhash64(text).cast("int")
+    return F.hash(text)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, packing, quality, token_counts, token_files, url_filter
+from . import decontaminate, media, near_dedup, packing, quality, token_counts, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_quality": quality.op2_quality,
         "op3_media": media.op3_media,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_token_files": token_files.op6_token_files,
         "op8_url_filter": url_filter.op8_url_filter,
