@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, near_dedup, packing, quality, token_counts, token_files, url_filter
+from . import decontaminate, media, near_dedup, packing, quality, substring_dedup, token_counts, token_files, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_quality": quality.op2_quality,
         "op3_media": media.op3_media,
         "op4_near_dedup": near_dedup.op4_near_dedup,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op1_substring_dedup": substring_dedup.OP1_SQL, "op8_url_filter": url_filter.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
