@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, near_dedup, packing, quality, substring_dedup, token_counts, token_files, url_filter
+from . import chat_format, decontaminate, media, near_dedup, packing, quality, substring_dedup, token_counts, token_files, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_token_files": token_files.op6_token_files,
+        "op7_chat_format": chat_format.op7_chat_format,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_packing": packing.op10_packing,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.OP1_SQL, "op8_url_filter": url_filter.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op1_substring_dedup": substring_dedup.OP1_SQL, "op7_chat_format": chat_format.OP7_SQL, "op8_url_filter": url_filter.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
