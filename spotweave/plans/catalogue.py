@@ -1,11 +1,460 @@
-"""The registered queries of the molecule operators, with the SQL that each must equal."""
+"""The registered queries of the molecule operators, with the SQL that each must equal.
+
+Queries take the whole of their tables.  Where SQL would be too slow on whole tables (nearest neighbours of
+all molecules, triangulations, iterations on their graphs) there is none, and tests/ hold the operator
+against brute force on small fixtures."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalar import uniform
+from ..functions.shared import cut
+from ..operators import aggregates as A
+from ..operators import clusters, filters, graph, knn, ncv, noise, polygons, qc, ranges, raster, reports, segmentation
+from ..sources import sinks
+from ..sources.views import L_SQL, M_SQL, counts, molecules, vectors
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+SCALE = 25.0
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# Filters and encoders
+
+
+@query(f"""WITH {M_SQL}, n AS (SELECT gene_name, count(*) AS c FROM M GROUP BY 1 HAVING count(*) >= 90), k AS (SELECT * FROM M WHERE gene_name IN (SELECT gene_name FROM n) AND NOT regexp_matches(gene_name, '^g9'))
+SELECT molecule_id AS event, row_number() OVER (ORDER BY x, y, gene_name, molecule_id) AS molecule_id, dense_rank() OVER (ORDER BY gene_name)::INTEGER AS gene, gene_name FROM k""")
+def gene_filter_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = filters.exclude_genes(filters.frequent_genes(molecules(spark, sf_dir), 90), "^g9")
+    coded, _ = filters.encode_genes(m)
+    named = coded.withColumnRenamed("molecule_id", "event")
+    return filters.number_rows(named, ["x", "y", "gene_name", "event"]).select("event", "molecule_id", "gene", "gene_name")
+
+
+@query(f"""WITH {M_SQL}, c AS (SELECT label, row_number() OVER (ORDER BY label) AS code FROM (SELECT DISTINCT prior_segmentation::VARCHAR AS label FROM M WHERE prior_segmentation <> 0)),
+p AS (SELECT molecule_id, coalesce(code, 0) AS code FROM M LEFT JOIN c ON c.label = prior_segmentation::VARCHAR), n AS (SELECT code FROM p WHERE code > 0 GROUP BY code HAVING count(*) >= 65)
+SELECT molecule_id, CASE WHEN code IN (SELECT code FROM n) THEN code ELSE 0 END AS prior_segmentation FROM p""")
+def prior_parse_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir).withColumn("label", F.col("prior_segmentation").cast("string"))
+    return filters.small_segments(filters.parse_prior(m, "label"), 65).select("molecule_id", "prior_segmentation")
+
+
+_MASK_SQL = """mask AS (SELECT DISTINCT round_even(y, 0)::BIGINT AS "row", round_even(x, 0)::BIGINT AS col FROM M), mask2 AS (SELECT "row", col, CASE WHEN ("row" + col) % 3 = 0 THEN 0 ELSE 1 + "row" // 50 * 10 + least(col // 50, 9) END AS label FROM mask)"""
+
+
+def _mask(m: DataFrame) -> DataFrame:
+    pixels = m.select(F.bround("y").cast("long").alias("row"), F.bround("x").cast("long").alias("col")).distinct()
+    tile = 1 + F.floor(F.col("row") / 50) * 10 + F.least(F.floor(F.col("col") / 50), F.lit(9))
+    return pixels.withColumn("label", F.when((F.col("row") + F.col("col")) % 3 == 0, 0).otherwise(tile).cast("long"))
+
+
+@query(f"""WITH {M_SQL}, {_MASK_SQL} SELECT molecule_id, coalesce(label, 0)::BIGINT AS prior_segmentation FROM M LEFT JOIN mask2 ON "row" = round_even(y, 0)::BIGINT AND col = round_even(x, 0)::BIGINT""")
+def raster_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    return raster.lookup(m, _mask(m)).select("molecule_id", "prior_segmentation")
+
+
+@query(f"""WITH {M_SQL}, {_MASK_SQL}, r AS (SELECT sqrt(count(*) / pi()) AS r FROM mask2 WHERE label > 0 GROUP BY label), mid AS (SELECT quantile_cont(r, 0.5) AS scale FROM r)
+SELECT round(scale, 6) AS scale, round(1.4826022185056018 * (SELECT quantile_cont(abs(r - scale), 0.5) FROM r, mid), 6) AS scale_std FROM mid""")
+def scale_from_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(raster.mask_scale(_mask(molecules(spark, sf_dir))), "scale", "scale_std")
+
+
+@query(f"""WITH {M_SQL}, c AS (SELECT cell, avg(x) AS x, avg(y) AS y FROM M WHERE cell > 0 GROUP BY cell HAVING count(*) >= 3),
+r AS (SELECT min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) / 2 AS r FROM c a JOIN c b ON a.cell <> b.cell GROUP BY a.cell), mid AS (SELECT quantile_cont(r, 0.5) AS scale FROM r)
+SELECT round(scale, 6) AS scale, round(1.4826022185056018 * (SELECT quantile_cont(abs(r - scale), 0.5) FROM r, mid), 6) AS scale_std FROM mid""")
+def scale_from_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(knn.scale_from_assignment(molecules(spark, sf_dir), 3), "scale", "scale_std")
+
+
+@query(f"""WITH {M_SQL}, r AS (SELECT molecule_id, row_number() OVER (ORDER BY x + y, molecule_id) AS k, count(*) OVER () AS hi FROM M WHERE confidence >= 0.25),
+t AS (SELECT DISTINCT round_even(1 + i * ((hi - 1) / 499.0::DOUBLE), 0)::BIGINT AS k FROM (SELECT DISTINCT hi FROM r), unnest(generate_series(0, 499)) AS g(i))
+SELECT molecule_id FROM r JOIN t USING (k)""")
+def select_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.select_uniformly(molecules(spark, sf_dir), 500).select("molecule_id")
+
+
+@query(f"""WITH {M_SQL}, n AS (SELECT cell, row_number() OVER (ORDER BY cell) AS c FROM (SELECT cell FROM M WHERE cell > 0 GROUP BY cell HAVING count(*) >= 40))
+SELECT molecule_id, coalesce(c, 0)::INTEGER AS cell FROM M LEFT JOIN n USING (cell)""")
+def drop_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.drop_unused(molecules(spark, sf_dir).select("molecule_id", "cell"), 40)[0]
+
+
+# Aggregations
+
+
+@query(f"WITH {L_SQL} SELECT gene, cell, sum(w) AS n FROM L WHERE cell > 0 GROUP BY 1, 2")
+def count_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.count_matrix(counts(spark, sf_dir), gene="gene", weight="w")
+
+
+@query(f"""WITH {M_SQL} SELECT gene_name AS gene, count(*) FILTER (z = 0) AS "1", count(*) FILTER (z = 1) AS "2", count(*) FILTER (z = 2) AS "3" FROM M GROUP BY 1""")
+def count_matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.wide_counts(A.count_matrix(molecules(spark, sf_dir).withColumn("cell", F.col("z") + 1)))
+
+
+_SIG = "CASE WHEN {0} = 0 THEN 0 ELSE round_even({0} / pow(10.0, floor(log10(abs({0}))) - 3), 0) * pow(10.0, floor(log10(abs({0}))) - 3) END"
+
+
+@query(f"""WITH {M_SQL}, s AS (SELECT cell, avg(x) AS x, avg(y) AS y, count(*) AS n_transcripts, avg(confidence) AS ac, (var_pop(x) + var_pop(y)) / 2 AS h,
+  sqrt(((var_pop(x) - var_pop(y)) / 2) ** 2 + covar_pop(x, y) ** 2) AS g FROM M WHERE cell > 0 GROUP BY cell),
+e AS (SELECT *, (h + g) / (h - g) AS el FROM s), k AS (SELECT cell, z + 1 AS c, count(*) AS n FROM M WHERE cell > 0 GROUP BY 1, 2),
+b AS (SELECT cell, c AS cluster, n / sum(n) OVER (PARTITION BY cell) AS f, row_number() OVER (PARTITION BY cell ORDER BY n DESC, c) AS r FROM k)
+SELECT cell, round(x, 6) AS x, round(y, 6) AS y, n_transcripts, CASE WHEN n_transcripts > 2 THEN round({_SIG.format('el')}, 8) END AS elongation,
+  round({_SIG.format('ac')}, 8) AS avg_confidence, cluster, round(f, 6) AS max_cluster_frac FROM e JOIN b USING (cell) WHERE r = 1""")
+def cell_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = qc.cell_table(molecules(spark, sf_dir).withColumn("cluster", F.col("z") + 1), hulls=False)
+    t = _rounded(_rounded(t, "x", "y", "max_cluster_frac"), "elongation", "avg_confidence", digits=8)
+    return t.withColumn("elongation", F.when(~F.isnan("elongation"), F.col("elongation"))).select("cell", "x", "y", "n_transcripts", "elongation", "avg_confidence", "cluster", "max_cluster_frac")
+
+
+@query(f"""WITH {M_SQL}, p AS (SELECT DISTINCT prior_segmentation AS cell, x, y FROM M WHERE prior_segmentation > 0),
+e AS (SELECT a.cell, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.cell = b.cell AND (a.x, a.y) <> (b.x, b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.cell = a.cell AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0))
+SELECT cell, round(abs(sum(ax * by_ - bx * ay)) / 2, 4) AS area FROM e GROUP BY cell""")
+def hull_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(qc.hull_areas(molecules(spark, sf_dir), "prior_segmentation"), "area", digits=4)
+
+
+@query(f"WITH {M_SQL}, b AS (SELECT floor((x - 0) / 10)::BIGINT AS bin, count(*) AS n FROM M GROUP BY 1) SELECT bin, n, round(n / sum(n) OVER (), 8) AS fraction FROM b")
+def histogram_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(A.histogram(molecules(spark, sf_dir), "x", 0.0, 10.0), "fraction", digits=8)
+
+
+@query(f"WITH {M_SQL} SELECT round(avg(CASE WHEN confidence < 0.01 THEN 1.0 ELSE 0 END), 8) AS min_noise_frac, round(avg(1 - confidence), 8) AS expected_noise_frac FROM M")
+def confidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reports.noise_summary(molecules(spark, sf_dir)), "min_noise_frac", "expected_noise_frac", digits=8)
+
+
+@query(f"WITH {M_SQL} SELECT gene_name AS gene, count(*) FILTER (confidence >= 0.5) AS n_real, count(*) FILTER (confidence < 0.5) AS n_noise FROM M GROUP BY 1")
+def expression_real_vs_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.real_and_noise(molecules(spark, sf_dir))
+
+
+@query(f"""WITH {M_SQL}, n AS (SELECT cell, count(*) AS n FROM M WHERE cell > 0 GROUP BY 1)
+SELECT t AS threshold, count(*) FILTER (n >= t) AS n_cells FROM n, unnest([1, 20, 40, 80, 200]) AS g(t) GROUP BY t""")
+def size_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.size_trace(A.count_array(molecules(spark, sf_dir), "cell"), 40)
+
+
+@query(f"""WITH {M_SQL}, n AS (SELECT cell, count(*) AS n FROM M WHERE cell > 0 GROUP BY 1) SELECT cell, round((n + 0.5) / (sum(n) OVER () + 0.5 * max(cell) OVER ()), 8) AS p FROM n""")
+def smoothed_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(A.smoothed_frequency(molecules(spark, sf_dir), "cell", 0.5), "p", digits=8)
+
+
+@query(f"""WITH {M_SQL}, s AS (SELECT cell, sum(confidence) AS w, sum(confidence * x) AS wx, sum(confidence * x * x) AS wxx, sum(greatest(confidence, 0.01) * x) / sum(greatest(confidence, 0.01)) AS f FROM M WHERE cell > 0 GROUP BY 1)
+SELECT cell, round(CASE WHEN w <> 0 THEN wx / w END, 5) AS mean, round(CASE WHEN w <> 0 THEN sqrt(greatest(wxx / w - (wx / w) ** 2, 0)) END, 5) AS sd, round(f, 5) AS floored FROM s""")
+def weighted_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, w = F.col("x"), F.col("confidence")
+    per = molecules(spark, sf_dir).where("cell > 0").groupBy("cell").agg(A.weighted_mean(x, w).alias("mean"), A.weighted_sd(x, w).alias("sd"), A.floored_mean(x, w).alias("floored"))
+    return _rounded(per, "mean", "sd", "floored", digits=5)
+
+
+@query(f"""WITH {M_SQL}, mid AS (SELECT quantile_cont(x, 0.5) AS scale FROM M) SELECT round(scale, 6) AS scale, round(1.4826022185056018 * (SELECT quantile_cont(abs(x - scale), 0.5) FROM M, mid), 6) AS scale_std FROM mid""")
+def median_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(raster.median_mad(molecules(spark, sf_dir), "x"), "scale", "scale_std")
+
+
+@query(f"WITH {M_SQL} SELECT min(x) AS min_x, max(x) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y FROM M")
+def value_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(A.value_range(molecules(spark, sf_dir), ["x", "y"]), "min_y", "max_y")
+
+
+@query(f"WITH {M_SQL} SELECT cell, count(DISTINCT gene_name) AS n_genes, count(gene_name)::DOUBLE AS sum_counts FROM M WHERE cell > 0 GROUP BY 1")
+def expressed_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.expressed_genes(molecules(spark, sf_dir))
+
+
+@query(f"WITH {M_SQL}, c AS (SELECT count(DISTINCT gene_name) AS n FROM M WHERE cell > 0 GROUP BY cell) SELECT round(avg(1.0::DOUBLE / n), 10) AS density FROM c")
+def noise_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(A.noise_composition_density(A.expressed_genes(molecules(spark, sf_dir))), "density", digits=10)
+
+
+@query(f"""WITH {M_SQL}, p AS (SELECT cell, prior_segmentation AS s, count(*) AS n FROM M WHERE cell > 0 GROUP BY 1, 2), z AS (SELECT prior_segmentation AS s, count(*) AS size FROM M GROUP BY 1),
+r AS (SELECT cell, s AS main_segment, n AS n_main, row_number() OVER (PARTITION BY cell ORDER BY n DESC, size DESC, s) AS k FROM p JOIN z USING (s)) SELECT cell, main_segment, n_main FROM r WHERE k = 1""")
+def main_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.segments_of_cells(molecules(spark, sf_dir))[1]
+
+
+_H_SQL = """H AS (SELECT iter, molecule_id, floor(('0x' || substr(md5('7:' || iter || ':' || molecule_id), 1, 8))::BIGINT / 4294967296.0 * 4)::BIGINT AS guid FROM M, unnest(generate_series(1, 5)) AS g(iter))"""
+
+
+def _history(m: DataFrame) -> DataFrame:
+    it = m.select("molecule_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("iter"))
+    return it.select("iter", "molecule_id", F.floor(uniform(F.lit(7), F.col("iter"), F.col("molecule_id")) * 4).alias("guid"))
+
+
+@query(f"""WITH {M_SQL}, {_H_SQL}, p AS (SELECT molecule_id, guid, count(*) AS n FROM H GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY molecule_id ORDER BY n DESC, guid) AS k FROM p WHERE guid IN (0, 1, 3))
+SELECT molecule_id, coalesce(r.guid, 0) AS guid, coalesce(r.n, 0) / 5.0::DOUBLE AS assignment_confidence FROM M LEFT JOIN r USING (molecule_id) WHERE coalesce(k, 1) = 1""")
+def history_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    surviving = spark.createDataFrame([(1,), (3,)], "guid long")
+    return segmentation.by_history(_history(m), surviving, m.select("molecule_id"))
+
+
+@query(f"WITH {M_SQL}, {_H_SQL} SELECT guid, 5 - min(iter) + 1 AS lifespan FROM (SELECT iter, guid + molecule_id % 3 * iter AS guid FROM H) GROUP BY guid")
+def lifespan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _history(molecules(spark, sf_dir)).select("iter", (F.col("guid") + F.col("molecule_id") % 3 * F.col("iter")).alias("guid"))
+    return A.lifespan(h, 5)
+
+
+# Joins in the plane
+
+
+@query(f"""WITH {M_SQL}, c AS (SELECT cell, avg(x) AS cx, avg(y) AS cy FROM M WHERE cell > 0 GROUP BY 1),
+d AS (SELECT molecule_id, c.cell AS centre, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS dist, row_number() OVER (PARTITION BY molecule_id ORDER BY sqrt((x - cx) ** 2 + (y - cy) ** 2), c.cell) AS k FROM M, c)
+SELECT molecule_id, centre::BIGINT AS centre, round(dist, 6) AS dist FROM d WHERE k = 1""")
+def knn_to_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    centres = m.where("cell > 0").groupBy(F.col("cell").alias("molecule_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    near = knn.knn(centres, 1, m)
+    return near.select(F.col("src").alias("molecule_id"), F.col("dst").alias("centre"), F.round("dist", 6).alias("dist"))
+
+
+@query(f"""WITH {M_SQL}, b AS (SELECT cell, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM M WHERE cell > 0 GROUP BY 1) SELECT b.cell, molecule_id FROM M JOIN b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""")
+def bbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    return ranges.points_in_boxes(m, ranges.bounding_boxes(m))
+
+
+def _triangles(spark: SparkSession) -> DataFrame:
+    t = F.col("id").cast("double")
+    return spark.range(60).select(F.col("id").alias("triangle"), (t * 4).alias("ax"), (t % 7 * 10).alias("ay"), (t * 4 + 60).alias("bx"), (t % 5 * 30).alias("by"), (t * 3).alias("cx"), (t % 11 * 20 + 250).alias("cy"))
+
+
+@query(f"""WITH {M_SQL}, t AS (SELECT i AS triangle, i * 4.0::DOUBLE AS ax, i % 7 * 10.0::DOUBLE AS ay, i * 4.0::DOUBLE + 60 AS bx, i % 5 * 30.0::DOUBLE AS by_, i * 3.0::DOUBLE AS cx, i % 11 * 20.0::DOUBLE + 250 AS cy FROM unnest(generate_series(0, 59)) AS g(i)),
+d AS (SELECT triangle, (cx - ax) ** 2 + (cy - ay) ** 2 AS d00, (cx - ax) * (bx - ax) + (cy - ay) * (by_ - ay) AS d01, (bx - ax) ** 2 + (by_ - ay) ** 2 AS d11, (cx - ax) * (x - ax) + (cy - ay) * (y - ay) AS d02, (bx - ax) * (x - ax) + (by_ - ay) * (y - ay) AS d12 FROM t, M),
+u AS (SELECT triangle, (d11 * d02 - d01 * d12) / (d00 * d11 - d01 * d01) AS u, (d00 * d12 - d01 * d02) / (d00 * d11 - d01 * d01) AS v FROM d) SELECT triangle, count(*) FILTER (u >= 0 AND v >= 0 AND u + v < 1) AS n FROM u GROUP BY 1""")
+def triangle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.triangle_counts(molecules(spark, sf_dir), _triangles(spark))
+
+
+@query("""WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE + 0.1) AS e FROM embeddings), d AS (SELECT q.vec_id, p.label, list_distance(q.e, p.embedding::DOUBLE[]) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, p.embedding::DOUBLE[]), p.vec_id) AS k FROM q, embeddings p)
+SELECT vec_id, round(sum(label / (dist + 1e-10)) / sum(1 / (dist + 1e-10)), 6) AS label FROM d WHERE k <= 5 GROUP BY 1""")
+def interpolate_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = vectors(spark, sf_dir)
+    dims = [f"d{i}" for i in range(64)]
+    points = e.select("vec_id", "label", *(F.element_at("embedding", i + 1).cast("double").alias(d) for i, d in enumerate(dims)))
+    moved = points.select("vec_id", *((F.col(d) + 0.1).alias(d) for d in dims))
+    return _rounded(knn.interpolate(points, moved, ["label"], 5, tuple(dims), "vec_id"), "label")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), q AS (SELECT quantile_cont(a, 0.0125) AS qa, quantile_cont(b, 0.0125) AS qb, quantile_cont(c, 0.0125) AS qc FROM e),
+s AS (SELECT vec_id, greatest(a - qa, 0) AS a, greatest(b - qb, 0) AS b, greatest(c - qc, 0) AS c FROM e, q), t AS (SELECT quantile_cont(v, 0.9875) AS top FROM (SELECT a AS v FROM s UNION ALL SELECT b FROM s UNION ALL SELECT c FROM s))
+SELECT vec_id, round(least(a / top, 1) * 80 + 10, 5) AS c1, round((least(b / top, 1) - 0.5) * 200, 5) AS c2, round((least(c / top, 1) - 0.5) * 200, 5) AS c3 FROM s, t""")
+def lab_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = vectors(spark, sf_dir).select("vec_id", *(F.element_at("embedding", i).cast("double").alias(f"c{i}") for i in (1, 2, 3)))
+    return _rounded(ncv.lab_rescale(e), "c1", "c2", "c3", digits=5)
+
+
+# Expectation and maximisation
+
+
+def _chain(m: DataFrame) -> DataFrame:
+    """Edges between molecules whose numbers differ by 1 to 3: a graph that SQL can make too."""
+    steps = m.select(F.col("molecule_id").alias("src"), F.explode(F.array(*(F.lit(i) for i in (-3, -2, -1, 1, 2, 3)))).alias("d")).select("src", (F.col("src") + F.col("d")).alias("dst"), (1.0 / F.abs("d")).alias("weight"))
+    return steps.join(m.select(F.col("molecule_id").alias("dst")), "dst", "left_semi").select("src", "dst", "weight")
+
+
+_CHAIN_SQL = "E AS (SELECT a.molecule_id AS src, b.molecule_id AS dst, 1.0::DOUBLE / abs(d) AS weight FROM M a, unnest([-3, -2, -1, 1, 2, 3]) AS g(d), M b WHERE b.molecule_id = a.molecule_id + d)"
+_SETTINGS = segmentation.Settings(SCALE, SCALE / 4, 10, stochastic=False)
+
+
+def _shrink(v: str) -> str:
+    d = f"(sqrt(greatest({v}, 0)) - 25)"
+    return f"pow((10 * 25 + n * (25 + sign({d}) * (sqrt(abs({d}) / 6.25 + 1) - 1) * 6.25)) / (10 + n), 2)"
+
+
+_FIT_SQL = f"""s AS (SELECT cell, count(*) AS n, avg(x) AS mu_x, avg(y) AS mu_y, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c0, count(DISTINCT gene_name) AS n_genes, count(*)::DOUBLE AS sum_counts FROM M WHERE cell > 0 GROUP BY cell),
+s2 AS (SELECT *, CASE WHEN c0 / greatest(greatest(a, b), 1e-300) < 1e-5 THEN 0 ELSE c0 END AS c FROM s), s3 AS (SELECT *, (a + b) / 2 AS h, sqrt(((a - b) / 2) ** 2 + c * c) AS g FROM s2),
+s4 AS (SELECT *, {_shrink('(h + g)')} AS p, {_shrink('(h - g)')} AS q FROM s3),
+C AS (SELECT cell, n, mu_x, mu_y, n_genes, sum_counts, CASE WHEN n > 2 THEN (p + q) / 2 + CASE WHEN g > 0 THEN (p - q) / (2 * g) * (a - b) / 2 ELSE 0 END ELSE 625 END AS s_00,
+  CASE WHEN n > 2 AND g > 0 THEN (p - q) / (2 * g) * c ELSE 0 END AS s_10, CASE WHEN n > 2 THEN (p + q) / 2 - CASE WHEN g > 0 THEN (p - q) / (2 * g) * (a - b) / 2 ELSE 0 END ELSE 625 END AS s_11 FROM s4)"""
+
+
+@query(f"""WITH {M_SQL}, {_FIT_SQL} SELECT cell, n, round(mu_x, 7) AS mu_x, round(mu_y, 7) AS mu_y, round(s_00, 4) AS s_00, round(s_10, 4) AS s_10, round(s_11, 4) AS s_11, n_genes, round(0.5 * ln(pow(2 * pi(), 3) * (s_00 * s_11 - s_10 * s_10)), 6) AS log_norm FROM C""")
+def mstep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    cells = segmentation.fit_cells(m.drop("cell"), m.select("molecule_id", "cell"), _SETTINGS)
+    cells = _rounded(_rounded(_rounded(cells, "mu_x", "mu_y", digits=7), "s_00", "s_10", "s_11", digits=4), "log_norm")
+    return cells.select("cell", "n", "mu_x", "mu_y", "s_00", "s_10", "s_11", "n_genes", "log_norm")
+
+
+@query(f"""WITH {M_SQL}, {_CHAIN_SQL}, {_FIT_SQL}, K AS (SELECT cell, gene_name, count(*)::DOUBLE AS cnt FROM M WHERE cell > 0 GROUP BY 1, 2), nd AS (SELECT 1 / (2 * pi()) / 625 * exp(-9) * avg(1.0::DOUBLE / n_genes) AS nd FROM C),
+W AS (SELECT src AS molecule_id, M.cell, sum(weight) AS w FROM E JOIN M ON M.molecule_id = dst GROUP BY 1, 2),
+D AS (SELECT W.molecule_id, W.cell, M.confidence * exp(0.1 * w) * n * exp(-0.5 * (s_11 * (x - mu_x) ** 2 - 2 * s_10 * (x - mu_x) * (y - mu_y) + s_00 * (y - mu_y) ** 2) / (s_00 * s_11 - s_10 * s_10)
+    - 0.5 * ln(pow(2 * pi(), 3) * (s_00 * s_11 - s_10 * s_10))) * greatest(coalesce(cnt, 0), 1) / (sum_counts + 1) AS dens
+  FROM W JOIN M USING (molecule_id) JOIN C ON C.cell = W.cell LEFT JOIN K ON K.cell = W.cell AND K.gene_name = M.gene_name WHERE W.cell > 0),
+Z AS (SELECT * FROM D UNION ALL SELECT molecule_id, 0, (1 - confidence) * nd FROM M, nd WHERE confidence < 1), T AS (SELECT *, sum(dens) OVER (PARTITION BY molecule_id) AS total, row_number() OVER (PARTITION BY molecule_id ORDER BY dens DESC, CASE WHEN cell = 0 THEN 2147483647 ELSE cell END) AS r FROM Z)
+SELECT molecule_id, CASE WHEN total < 1e-100 THEN 0 ELSE cell END::INTEGER AS cell FROM T WHERE r = 1""")
+def estep_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    assigned, mols = m.select("molecule_id", "cell"), m.drop("cell", "prior_segmentation", "z")
+    cells = cut(segmentation.fit_cells(mols, assigned, _SETTINGS), "cells")
+    return segmentation.expectation(mols, _chain(m), assigned, cells, _SETTINGS)
+
+
+def _unit(j: int) -> str:
+    return f"floor(('0x' || substr(md5(gene_name || ':{j}'), 1, 8))::BIGINT / 4294967296.0 * 10000) / 1e5"
+
+
+@query(f"""WITH {M_SQL}, {_CHAIN_SQL}, n AS (SELECT gene_name, count(*) AS n FROM M GROUP BY 1), X AS (SELECT gene_name, {', '.join(f'(n * (0.95 + {_unit(j)}) + 1) / (sum(n) OVER () + 1) AS e{j}' for j in (1, 2, 3))} FROM n),
+P AS (SELECT molecule_id, gene_name, confidence, {', '.join(f'e{j} / (e1 + e2 + e3) AS p{j}' for j in (1, 2, 3))} FROM M JOIN X USING (gene_name)),
+S AS (SELECT src AS molecule_id, {', '.join(f'sum(weight * b.confidence * p{j}) AS s{j}' for j in (1, 2, 3))} FROM E JOIN P b ON b.molecule_id = dst GROUP BY 1),
+R AS (SELECT molecule_id, gene_name, confidence, {', '.join(f'e{j} * exp(coalesce(s{j}, 0)) AS r{j}' for j in (1, 2, 3))} FROM P LEFT JOIN S USING (molecule_id) JOIN X USING (gene_name)),
+Q AS (SELECT gene_name, {', '.join(f'sum(confidence * r{j} / (r1 + r2 + r3)) AS q{j}' for j in (1, 2, 3))} FROM R GROUP BY 1)
+SELECT gene_name, {', '.join(f'round((q{j} + 1) / (sum(q{j}) OVER () + 1), 8) AS e{j}' for j in (1, 2, 3))} FROM Q""")
+def cluster_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    x = cut(clusters.hashed_expression(m, 3), "expression")
+    total = F.col("e1") + F.col("e2") + F.col("e3")
+    state = m.select("molecule_id", "gene_name", "confidence").join(x, "gene_name").select("molecule_id", "gene_name", "confidence", *((F.col(f"e{j}") / total).alias(f"p{j}") for j in (1, 2, 3)))
+    conf = m.select(F.col("molecule_id").alias("dst"), F.col("confidence").alias("_c"))
+    edges = _chain(m).join(conf, "dst").select("src", "dst", (F.col("weight") * F.col("_c")).alias("weight"))
+    return _rounded(clusters.cluster_expression(clusters.cluster_step(state, edges, x, 3), 3), "e1", "e2", "e3", digits=8)
+
+
+# Graphs of nearest neighbours and all that stands on them: rows only here, brute force in tests/
+
+
+@query()
+def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.knn(molecules(spark, sf_dir), 6)
+
+
+def _graph(m: DataFrame, adjacency: str = "knn", keep_long: bool = False) -> DataFrame:
+    return cut(graph.neighbour_graph(m, adjacency=adjacency, keep_long=keep_long).select("src", "dst", "length", "weight"), "graph")
+
+
+@query()
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(molecules(spark, sf_dir))
+
+
+@query()
+def delaunay_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(molecules(spark, sf_dir), "triangulation")
+
+
+@query()
+def gene_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    return A.cooccurrence(_graph(m, keep_long=True), m, 0.5)
+
+
+def _ncv(m: DataFrame) -> DataFrame:
+    return cut(ncv.composition_vectors(m, 10), "ncv")
+
+
+@query()
+def composition_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ncv(molecules(spark, sf_dir))
+
+
+@query()
+def coexpression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ncv.coexpression(_ncv(molecules(spark, sf_dir)))
+
+
+@query()
+def gene_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ncv.gene_vectors(ncv.coexpression(_ncv(molecules(spark, sf_dir))), 20)
+
+
+@query()
+def molecule_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _ncv(molecules(spark, sf_dir))
+    return ncv.molecule_vectors(v, cut(ncv.gene_vectors(ncv.coexpression(v), 20), "genes"))
+
+
+@query()
+def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ncv.pca(vectors(spark, sf_dir), 5, "vec_id", "embedding")
+
+
+@query()
+def gaussian_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.gaussian_clusters(vectors(spark, sf_dir), 10, 10)
+
+
+@query()
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ncv.colours(vectors(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector")), key="vec_id")
+
+
+@query()
+def gene_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    return ncv.gene_structure(A.cooccurrence(_graph(m, keep_long=True), m, 0.5), m)
+
+
+@query()
+def noise_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir).drop("confidence")
+    return noise.append_confidence(m, 5, adjacency="knn", most=5).select("molecule_id", "confidence")
+
+
+@query()
+def molecule_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    return clusters.cluster_molecules(m, _graph(m, keep_long=True), 4, most=3, expression=clusters.hashed_expression(m, 4))[0]
+
+
+@query()
+def molecule_compartments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    return clusters.compartments(m, _graph(m, keep_long=True), ["g0", "g1", "g2"], ["g3", "g4", "g5"], SCALE, most=3)
+
+
+@query()
+def components_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    return graph.split_cells(m.select("molecule_id", "cell"), _graph(m))
+
+
+@query()
+def segment_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three iterations of the whole loop, with prior segmentation and clusters."""
+    m = molecules(spark, sf_dir).withColumn("cluster", F.col("z") + 1).drop("cell", "z")
+    s = segmentation.Settings(SCALE, SCALE / 4, 30, history_depth=2)
+    start = segmentation.initial_cells(m, max(2, m.count() // 30 * 2), s)
+    return segmentation.segment(m, _graph(m), start, 3, s)["assigned"]
+
+
+@query()
+def boundary_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polygons.boundary_polygons(molecules(spark, sf_dir))
+
+
+@query()
+def polygons_by_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polygons.polygons_by_z(molecules(spark, sf_dir))
+
+
+@query()
+def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.geojson(polygons.boundary_polygons(molecules(spark, sf_dir)))
