@@ -234,8 +234,9 @@ class WordBPE(ChunkEncoder):
         return np.array(flat, np.uint32), lens
 
 
-#: Numbers that re's \d doesn't take, and characters beyond Latin: such chunks go to the library.
-_NUMBERS = re.compile("[²³¹¼½¾]|[^\x00-\u024f]")
+#: Separators that are white space to re alone, numbers that its \d doesn't take, and characters beyond
+#: Latin: such chunks go to the library.
+_NUMBERS = re.compile("[\x1c-\x1f²³¹¼½¾]|[^\x00-\u024f]")
 
 
 def _byte_chars() -> list[str]:
