@@ -6,7 +6,7 @@ Cuts may stand at ends of documents (free), ends of sentences, or, inside a long
 a fixed grid; the last two cost a truncation penalty.  With f(j) the least cost of all windows
 that end at cut j,
 
-    f(j) = penalty(j) + min over i of f(i) + padding(i, j),
+    f(j) = penalty(j) + SEQUENCE_COST + min over i of f(i) + padding(i, j),
 
 where padding is ``length`` less the window's tokens, or nothing at a power of two.  The first
 form needs the least f(i) + pos(i) over a sliding range of positions, which a monotone queue
@@ -36,6 +36,8 @@ BLOCK = 1 << 20
 SENTENCE_PENALTY = 2.0
 GRID = 16
 GRID_PENALTY = 8.0
+#: What a further sequence costs: short ones without padding are taken only where they save more than that.
+SEQUENCE_COST = 64.0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, own_sequence long, offset long"
 
 
@@ -58,7 +60,7 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> lis
             k = where.get(p - w)
             if k is not None and best[k] < least:
                 least, i = best[k], k
-        best[j], back[j] = least + cost[j], i
+        best[j], back[j] = least + cost[j] + SEQUENCE_COST, i
         key[j] = best[j] + p
         while queue and key[queue[-1]] >= key[j]:
             queue.pop()

@@ -268,10 +268,10 @@ def test_cuts_are_the_best():
         pad = lambda w: 0 if w & (w - 1) == 0 else 64 - w
         best = [0.0] + [np.inf] * 25
         for j in range(1, 26):
-            best[j] = min(best[i] + pad(int(pos[j] - pos[i])) for i in range(j) if pos[j] - pos[i] <= 64) + cost[j]
+            best[j] = min(best[i] + pad(int(pos[j] - pos[i])) for i in range(j) if pos[j] - pos[i] <= 64) + cost[j] + packing.SEQUENCE_COST
         cuts = packing.best_cuts(pos, cost, 64)
         where = {int(p): i for i, p in enumerate(pos)}
-        got = sum(pad(b - a) + cost[where[b]] for a, b in zip([0, *cuts[:-1]], cuts))
+        got = sum(pad(b - a) + cost[where[b]] + packing.SEQUENCE_COST for a, b in zip([0, *cuts[:-1]], cuts))
         assert cuts[-1] == pos[-1] and got == pytest.approx(best[-1])
 
 
