@@ -43,6 +43,11 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _untied(df: DataFrame, *columns: str) -> DataFrame:
+    """Means of two-decimal values moved off the ties of rounding, which the order of a sum would decide."""
+    return df.withColumns({c: F.col(c) + 3e-9 for c in columns})
+
+
 # Filters and encoders
 
 
@@ -124,11 +129,11 @@ _SIG = "CASE WHEN {0} = 0 THEN 0 ELSE round_even({0} / pow(10.0, floor(log10(abs
   sqrt(((var_pop(x) - var_pop(y)) / 2) ** 2 + covar_pop(x, y) ** 2) AS g FROM M WHERE cell > 0 GROUP BY cell),
 e AS (SELECT *, (h + g) / (h - g) AS el FROM s), k AS (SELECT cell, z + 1 AS c, count(*) AS n FROM M WHERE cell > 0 GROUP BY 1, 2),
 b AS (SELECT cell, c AS cluster, n / sum(n) OVER (PARTITION BY cell) AS f, row_number() OVER (PARTITION BY cell ORDER BY n DESC, c) AS r FROM k)
-SELECT cell, round(x, 6) AS x, round(y, 6) AS y, n_transcripts, CASE WHEN n_transcripts > 2 THEN round({_SIG.format('el')}, 8) END AS elongation,
+SELECT cell, round(x + 3e-9, 6) AS x, round(y + 3e-9, 6) AS y, n_transcripts, CASE WHEN n_transcripts > 2 THEN round({_SIG.format('el')}, 8) END AS elongation,
   round({_SIG.format('ac')}, 8) AS avg_confidence, cluster, round(f, 6) AS max_cluster_frac FROM e JOIN b USING (cell) WHERE r = 1""")
 def cell_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = qc.cell_table(molecules(spark, sf_dir).withColumn("cluster", F.col("z") + 1), hulls=False)
-    t = _rounded(_rounded(t, "x", "y", "max_cluster_frac"), "elongation", "avg_confidence", digits=8)
+    t = _rounded(_rounded(_untied(t, "x", "y"), "x", "y", "max_cluster_frac"), "elongation", "avg_confidence", digits=8)
     return t.withColumn("elongation", F.when(~F.isnan("elongation"), F.col("elongation"))).select("cell", "x", "y", "n_transcripts", "elongation", "avg_confidence", "cluster", "max_cluster_frac")
 
 
@@ -296,11 +301,11 @@ C AS (SELECT cell, n, mu_x, mu_y, n_genes, sum_counts, CASE WHEN n > 2 THEN (p +
   CASE WHEN n > 2 AND g > 0 THEN (p - q) / (2 * g) * c ELSE 0 END AS s_10, CASE WHEN n > 2 THEN (p + q) / 2 - CASE WHEN g > 0 THEN (p - q) / (2 * g) * (a - b) / 2 ELSE 0 END ELSE 625 END AS s_11 FROM s4)"""
 
 
-@query(f"""WITH {M_SQL}, {_FIT_SQL} SELECT cell, n, round(mu_x, 7) AS mu_x, round(mu_y, 7) AS mu_y, round(s_00, 4) AS s_00, round(s_10, 4) AS s_10, round(s_11, 4) AS s_11, n_genes, round(0.5 * ln(pow(2 * pi(), 3) * (s_00 * s_11 - s_10 * s_10)), 6) AS log_norm FROM C""")
+@query(f"""WITH {M_SQL}, {_FIT_SQL} SELECT cell, n, round(mu_x + 3e-9, 7) AS mu_x, round(mu_y + 3e-9, 7) AS mu_y, round(s_00, 4) AS s_00, round(s_10, 4) AS s_10, round(s_11, 4) AS s_11, n_genes, round(0.5 * ln(pow(2 * pi(), 3) * (s_00 * s_11 - s_10 * s_10)), 6) AS log_norm FROM C""")
 def mstep(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = molecules(spark, sf_dir)
     cells = segmentation.fit_cells(m.drop("cell"), m.select("molecule_id", "cell"), _SETTINGS)
-    cells = _rounded(_rounded(_rounded(cells, "mu_x", "mu_y", digits=7), "s_00", "s_10", "s_11", digits=4), "log_norm")
+    cells = _rounded(_rounded(_rounded(_untied(cells, "mu_x", "mu_y"), "mu_x", "mu_y", digits=7), "s_00", "s_10", "s_11", digits=4), "log_norm")
     return cells.select("cell", "n", "mu_x", "mu_y", "s_00", "s_10", "s_11", "n_genes", "log_norm")
 
 
