@@ -7,10 +7,11 @@
    the weighted Jaccard similarity); ROWS samples make a band's key.
 3. Exact copies (equal words) fall into one node first.  Nodes that share a band's key are candidates.
    In each bucket all are compared with the least node, its hub.  Where that leaves a bucket in
-   more than one component, small buckets compare all pairs of different components, large ones
-   compare ever more of the rest with all (8, 32, 128 ... hubs, in the end all of them), until one
-   component or no uncompared hub is left.  So no link that matters is lost, and a large group of
-   copies costs a row for each member and hub.
+   more than one component, small buckets compare all pairs of different components.  In large
+   ones everything outside the hub's component is compared with all: members are dealt into blocks
+   of bounded bytes, and an inverted index over a block's shingles gives a node's overlaps with
+   all of it at once, so a group costs a row for each member and block and never one for each pair.
+   Only links that join components leave a block.  So no link that matters is lost.
 4. Every candidate pair is verified by the weighted Jaccard similarity of its whole texts.
 5. Components by large-star and small-star steps, cut by written tables.
 
@@ -35,6 +36,8 @@ SIMILARITY = 0.8
 BUCKETS = 1 << 16
 BANDS, ROWS = 10, 3
 SMALL = 32
+#: Compressed bytes of a block's members, and of those compared with it.
+BLOCK_BYTES, QUERY_BYTES = 4 << 20, 1 << 20
 LAST = 2**63 - 1
 K = "struct<id:bigint,tag:int>"
 
@@ -69,7 +72,11 @@ class Sampler:
         out = np.empty(len(self.seeds), np.uint64)
         step = max(1, (1 << 18) // max(1, len(s)))
         for lo in range(0, len(out), step):
-            x = mix(s[None, :] ^ self.seeds[lo : lo + step])
+            x = s[None, :] ^ self.seeds[lo : lo + step]  # both are well mixed: two multiplications are enough
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
             a = (x & np.uint64(0xFFFF)).astype(np.int32)
             r, beta = self.r[a], (x >> np.uint64(32)).astype(np.float32) * np.float32(2.0**-32)
             t = np.floor(ln_w * self.inverse[a] + beta)
@@ -97,9 +104,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         df, n, hashes = np.zeros(BUCKETS, np.int64), 0, WordHashes()
         for b in batches:
             for t in b.column("text").to_pylist():
-                s, _, words = shingles_of(t, hashes)
+                words = hashes(words_of(t))
                 if len(words):
-                    df[np.unique(s & np.uint64(BUCKETS - 1)).astype(np.int64)] += 1
+                    bucket = np.sort((runs(words, min(SHINGLE, len(words))) & np.uint64(BUCKETS - 1)).astype(np.uint16))
+                    df[bucket[np.flatnonzero(np.diff(bucket, prepend=bucket[0] ^ 1))]] += 1
                     n += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"bucket": np.append(some, -1), "n": np.append(df[some], n)})
@@ -156,7 +164,7 @@ def _payloads(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     keyed = docs.where("text IS NOT NULL").select(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), row_tag(F.col("text")).alias("tag")).cast(K).alias("k"), "text")
     # compressed before the shuffle; equal rows leave one
-    pressed = keyed.mapInArrow(run, f"k {K}, pressed binary")
+    pressed = keyed.mapInArrow(run, f"k {K}, pressed binary").withColumn("size", F.length("pressed"))
     return materialize(pressed.join(nodes, "k", "left_semi").dropDuplicates(["k"]), "payloads")
 
 
@@ -184,6 +192,63 @@ def _verified(pairs: DataFrame, payloads: DataFrame, sent, similarity: float) ->
     return materialize(two.select("a", "b", "pa", "pb").mapInArrow(run, f"a {K}, b {K}"), "links")
 
 
+def _block_links(groups: DataFrame, payloads: DataFrame, sent, similarity: float) -> DataFrame:
+    """Links between the nodes of a group (hub, node, label, main) that lie outside its main component and all
+    others of different labels; of the links found in a block, those that join components."""
+    sized = materialize(groups.join(payloads.withColumnRenamed("k", "node"), "node"), "groups")
+    rest = F.col("label") != F.col("main")
+    totals = sized.groupBy("hub").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("nb"), F.ceil(F.sum(F.when(rest, F.col("size"))) / QUERY_BYTES).cast("int").alias("nr")).where("nr > 0")
+    dealt = sized.join(totals, "hub")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = dealt.withColumn("b", own("nb")).withColumn("r", every("nr")).withColumn("query", F.lit(False))
+    queries = dealt.where(rest).withColumn("r", own("nr")).withColumn("b", every("nb")).withColumn("query", F.lit(True))
+    cols = ["hub", "b", "r", "query", "node", "label", "pressed"]
+
+    def compare(t: pa.Table) -> pa.Table:
+        hashes, idf, opened = WordHashes(), sent.value, zstandard.ZstdDecompressor()
+        query, nodes, labels, raw = (t.column(c).to_pylist() for c in ("query", "node", "label", "pressed"))
+
+        def weighted(x):
+            s, tf, _ = shingles_of(opened.decompress(x).decode("utf-8", "surrogatepass"), hashes)
+            return s, tf * idf[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+
+        members = [i for i, q in enumerate(query) if not q]
+        sets = [weighted(raw[i]) for i in members]
+        flat = np.concatenate([s for s, _ in sets]) if sets else np.empty(0, np.uint64)
+        doc, w = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets]), np.concatenate([w for _, w in sets]) if sets else np.empty(0)
+        order = np.argsort(flat, kind="stable")
+        flat, doc, w = flat[order], doc[order], w[order]
+        total = np.array([x.sum() for _, x in sets])
+        parent: dict = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        key = lambda x: (x["id"], x["tag"])
+        found = []
+        for i, q in enumerate(query):
+            if not q:
+                continue
+            s, sw = weighted(raw[i])
+            lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            common = np.bincount(doc[at], np.minimum(w[at], np.repeat(sw, n)), len(sets))
+            for j in np.flatnonzero(common >= similarity * (sw.sum() + total - common)).tolist():
+                a, b = nodes[i], nodes[members[j]]
+                ra, rb = root(key(labels[i])), root(key(labels[members[j]]))
+                if ra != rb:
+                    parent[max(ra, rb)] = min(ra, rb)
+                    found.append((a, b) if key(a) > key(b) else (b, a))
+        kind = pa.struct([("id", pa.int64()), ("tag", pa.int32())])
+        return pa.table({"a": pa.array([a for a, _ in found], kind), "b": pa.array([b for _, b in found], kind)})
+
+    return others.select(cols).union(queries.select(cols)).groupBy("hub", "b", "r").applyInArrow(compare, f"a {K}, b {K}")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the least node of its component) of the nodes of links (a, b)."""
     spark = links.sparkSession
@@ -211,7 +276,8 @@ def _distinct_pairs(df: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, k (its node), label (its class's least node), n_copies (rows of equal words), n_links."""
+    """doc_id, k (its node), label (its class's least node), n_copies (rows of equal words), n_links (verified links
+    to other nodes; large groups keep those that join components)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
@@ -224,32 +290,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     payloads = _payloads(docs, member.select(F.col("node").alias("k")).distinct())
     links = _verified(_distinct_pairs(member.select(F.col("node").alias("x"), F.col("hub").alias("y"))), payloads, sent, similarity)
     labels = components(links)
-    hubs = 8
-    while True:
-        state = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # buckets of two were compared whole; the others, if still in several components
-        split = state.where("n > 2").groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("main")).where("least != most")
-        split = materialize(split.select("key", "main"), "split")
-        if split.isEmpty():
-            break
-        state = materialize(state.join(split, "key").select("key", "node", "label", "n", "main"), "state")
-        other = state.select("key", F.col("node").alias("y"), F.col("label").alias("other"))
-        rest = state.where("label != main")
-        large = rest.where(F.col("n") > SMALL)
-        few = large.groupBy("key").agg(F.count("*").alias("n_rest"))
-        chance = (F.xxhash64("node") + F.lit(0)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
-        chosen = large.join(few, "key").where(chance < F.lit(float(hubs)) / F.col("n_rest")).select("key", "node", "label")
-        if hubs == 8:
-            chosen = chosen.union(rest.where(F.col("n") <= SMALL).select("key", "node", "label"))
-        pairs = chosen.join(other, "key").where("label != other AND node != y").select(F.col("node").alias("x"), "y")
+    state = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # buckets of two were compared whole; of the others, those still in several components
+    split = state.where("n > 2").groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("main")).where("least != most")
+    split = materialize(split.select("key", "main"), "split")
+    if not split.isEmpty():
+        state = materialize(state.join(split, "key").select("key", "hub", "node", "label", "n", "main"), "state")
+        few = state.where(F.col("n") <= SMALL)
+        one = few.select("key", F.col("node").alias("x"), F.col("label").alias("l1"))
+        two = few.select("key", F.col("node").alias("y"), F.col("label").alias("l2"))
+        pairs = one.join(two, "key").where("x > y AND l1 != l2").select("x", "y")
         more = _verified(_distinct_pairs(pairs), payloads, sent, similarity)
-        complete = few.where(F.col("n_rest") > hubs).isEmpty()
-        if not more.isEmpty():
-            links = materialize(links.union(more).distinct(), "links")
-            labels = components(links)
-        if complete:
-            break
-        hubs *= 4
+        large = state.where(F.col("n") > SMALL).select("hub", "node", "label", "main").distinct()
+        links = materialize(links.union(more).union(_block_links(large, payloads, sent, similarity)).distinct(), "links")
+        labels = components(links)
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = nodes.select("h1", "h2", "node", "n_copies").join(labels, "node", "left").join(ends, "node", "left")
     of_node = materialize(of_node.select("h1", "h2", F.coalesce("label", "node").alias("label"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
