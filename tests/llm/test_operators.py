@@ -250,7 +250,9 @@ def check_packing(rows, pieces, lib):
         assert p.offset == fill.get(p.sequence_id, 0)
         fill[p.sequence_id] = p.offset + p.length
     assert max(fill.values(), default=0) <= 1024 and set(fill) == set(range(len(fill)))
-    return sum(fill.values()) / (1024 * max(1, len(fill)))
+    used = sum(fill.values())
+    padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in fill.values())  # none at a power of two
+    return used / max(1, used + padding)
 
 
 def test_packing(spark, tmp_path):
