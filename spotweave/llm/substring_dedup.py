@@ -12,8 +12,13 @@ ANCHOR-word runs; equal windows have equal anchors, so windows are dealt out by
    edits.  Each distinct unit is sent once, by the first document that has it; in the order of
    documents it is streamed through the shard's suffix automaton for matching statistics, spans of
    LENGTH or more go, and what is new extends the automaton.
-3. Shards of more than SHARD units (the borders of a passage that very many documents share) have their
-   windows hashed (128 bits) and counted in an aggregation instead, which no key can overload.
+3. Shards of more than SHARD units (the borders of a passage that very many documents share) are split
+   exactly: all units stand on their anchor, so each is compared with the shard's first unit by one
+   join.  What they share goes; a window that reaches further holds the first word that differs,
+   to the left or to the right, and only units with that same word in that place can share it.  So
+   the pieces are dealt out anew by (shard, side, distance, word), until shards are small.  What is
+   still large after LEVELS rounds (one word repeated over and over) has its windows hashed
+   (128 bits) and counted in an aggregation, which no key can overload.
 4. Spans return to their documents by one join.
 
 Null texts have no words.  Null doc_ids rank last, all equal.  Rows that share a doc_id are no
@@ -39,6 +44,7 @@ from .shingles import WordHashes, runs, sliding_min
 LENGTH = 50
 ANCHOR = 12
 SHARD = 512
+LEVELS = 8
 LAST = 2**63 - 1
 UNIT = "anchor long, c1 long, c2 long, doc long, tag int, at int, n int"
 SPAN = "doc long, tag int, at int, len int"
@@ -156,25 +162,31 @@ def _pressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, tag int, pressed binary")
 
 
-CONTEXT = "anchor long, large int, doc long, tag int, at int, words binary"
+CONTEXT = "anchor long, large int, doc long, tag int, at int, pos int, words binary"
 
 
 def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """The words of units that need their shard's automaton."""
 
+    anchor = min(ANCHOR, length)
+
     def run(batches):
-        opened = zstandard.ZstdDecompressor()
+        opened, hashes = zstandard.ZstdDecompressor(), WordHashes()
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for doc, tag, raw, units in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "pressed", "units"))):
                 words = opened.decompress(raw).split()
                 for u in units:
-                    for c, v in zip(cols, (u["anchor"], u["large"], doc, tag, u["at"], b" ".join(words[u["at"] : u["at"] + u["n"] + length - 1]))):
-                        c.append(v)
+                    own = words[u["at"] : u["at"] + u["n"] + length - 1]
+                    # in large shards a unit stands on its anchor, on each if there are several
+                    places = np.flatnonzero(runs(hashes(own), anchor).view(np.int64) == u["anchor"]).tolist() if u["large"] else [0]
+                    for pos in places:
+                        for c, v in zip(cols, (u["anchor"], u["large"], doc, tag, u["at"], pos, b" ".join(own))):
+                            c.append(v)
                 if len(cols[0]) > 4000:
-                    yield _batch(cols, "liliib", CONTEXT)
-                    cols = [[] for _ in range(6)]
-            yield _batch(cols, "liliib", CONTEXT)
+                    yield _batch(cols, "liliiib", CONTEXT)
+                    cols = [[] for _ in range(7)]
+            yield _batch(cols, "liliiib", CONTEXT)
 
     listed = places.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "large", "at", "n")).alias("units"))
     found = _pressed(docs).where("pressed IS NOT NULL").join(listed, ["doc", "tag"])
@@ -224,11 +236,67 @@ def _runs(ends: list[int], size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+PIECE = "kind int, anchor long, doc long, tag int, at int, pos int, len int, words binary"
+
+
+def _compared(length: int):
+    """Units against their shard's first unit r: shared spans (kind 0), and the pieces that reach beyond (kind 1)."""
+
+    def run(batches):
+        for b in batches:
+            cols: list[list] = [[] for _ in range(8)]
+
+            def put(*row):
+                for c, v in zip(cols, row):
+                    c.append(v)
+
+            for key, doc, tag, at, pos, raw, r in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "at", "pos", "words", "r"))):
+                own, first, q = raw.split(b" "), r["words"].split(b" "), r["pos"]
+                left, right = 0, 0
+                while left < pos and left < q and own[pos - left - 1] == first[q - left - 1]:
+                    left += 1
+                while pos + right < len(own) and q + right < len(first) and own[pos + right] == first[q + right]:
+                    right += 1
+                if doc > r["doc"] and left + right >= length:
+                    put(0, 0, doc, tag, at + pos - left, 0, left + right, b"")
+                if (doc, tag, at, pos) == (r["doc"], r["tag"], r["at"], r["pos"]):
+                    continue  # the first holder keeps its words
+                far = pos - left - 1
+                if far >= 0 and min(len(own), far + length) >= length:
+                    new = xxhash.xxh64_intdigest(b"%d/l/%d/" % (key, left) + own[far]) - (1 << 63)
+                    put(1, new, doc, tag, at, pos, 0, b" ".join(own[: far + length]))
+                far = pos + right
+                begin = max(0, far - length + 1)
+                if far < len(own) and begin <= pos and len(own) - begin >= length:
+                    new = xxhash.xxh64_intdigest(b"%d/r/%d/" % (key, right) + own[far]) - (1 << 63)
+                    put(1, new, doc, tag, at + begin, pos - begin, 0, b" ".join(own[begin:]))
+            yield _batch(cols, "illiiiib", PIECE)
+
+    return run
+
+
+def _split_large(large: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Spans found while large shards are split, and the small shards that are left."""
+    spans, small = [], []
+    for _ in range(LEVELS):
+        if large.isEmpty():
+            return spans, small
+        first = large.groupBy("anchor").agg(F.min(F.struct("doc", "tag", "at", "pos", "words")).alias("r"))
+        found = materialize(large.join(first, "anchor").select("anchor", "doc", "tag", "at", "pos", "words", "r").mapInArrow(_compared(length), PIECE), "descent")
+        spans.append(found.where("kind = 0").select("doc", "tag", "at", "len"))
+        pieces = found.where("kind = 1")
+        sizes = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("n > 1 AND lo < hi")
+        pieces = materialize(pieces.join(sizes.select("anchor", "n"), "anchor").select("anchor", "n", "doc", "tag", "at", "pos", "words"), "pieces")
+        small.append(pieces.where(F.col("n") <= SHARD).select("anchor", "doc", "tag", "at", "words"))
+        large = pieces.where(F.col("n") > SHARD)
+    return [*spans, _window_spans(large, length)], small
+
+
 WINDOW = "w1 long, w2 long, doc long, tag int, at int"
 
 
 def _window_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans of large shards: every window's hash, and the first document that has it."""
+    """Spans by every window's hash and the first document that has it."""
 
     def run(batches):
         for b in batches:
@@ -246,7 +314,6 @@ def _window_spans(contexts: DataFrame, length: int) -> DataFrame:
 
     windows = contexts.mapInArrow(run, WINDOW)
     first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("most")).where("first < most")
-    # a repeated window's first holder keeps it
     return windows.join(first, ["w1", "w2"]).where("doc > first").select("doc", "tag", "at", F.lit(length).alias("len"))
 
 
@@ -262,7 +329,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shards = materialize(shards.select("anchor", (F.col("n_units") > SHARD).cast("int").alias("large")), "shards")
     places = distinct.join(shards, "anchor").select("doc", "tag", "anchor", "large", "at", "n")
     contexts = materialize(_contexts(docs, places, length), "contexts")
-    found = whole.union(_shard_spans(contexts.where("large = 0"), length)).union(_window_spans(contexts.where("large = 1"), length))
+    found, small = _split_large(contexts.where("large = 1"), length)
+    shards = contexts.where("large = 0").select("anchor", "doc", "tag", "at", "words")
+    for s in small:
+        shards = shards.union(s)
+    for f in found:
+        whole = whole.union(f)
+    found = whole.union(_shard_spans(shards, length))
     return materialize(found, "spans")
 
 
