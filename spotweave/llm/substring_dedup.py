@@ -11,7 +11,8 @@ ANCHOR-word runs; equal windows have equal anchors, so windows are dealt out by
 2. Anchors with units of different words are the reference shards: edges of passages and places of
    edits.  Each distinct unit is sent once, by the first document that has it; in the order of
    documents it is streamed through the shard's suffix automaton for matching statistics, spans of
-   LENGTH or more go, and what is new extends the automaton.
+   LENGTH or more go, and what is new extends the automaton.  If that document has the unit more than
+   once, what is found at the first place goes at the others too.
 3. Shards of more than SHARD units (the borders of a passage that very many documents share) are split
    exactly: all units stand on their anchor, so each is compared with the shard's first unit by one
    join.  What they share goes; a window that reaches further holds the first word that differs,
@@ -47,7 +48,7 @@ SHARD = 512
 LEVELS = 8
 LAST = 2**63 - 1
 UNIT = "anchor long, c1 long, c2 long, doc long, tag int, at int, n int"
-SPAN = "doc long, tag int, at int, len int"
+SPAN = "doc long, tag int, at int, len int, unit int"  # unit: where its unit begins
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -162,7 +163,7 @@ def _pressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, tag int, pressed binary")
 
 
-CONTEXT = "anchor long, large int, doc long, tag int, at int, pos int, words binary"
+CONTEXT = "anchor long, large int, doc long, tag int, at int, unit int, pos int, words binary"
 
 
 def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
@@ -173,7 +174,7 @@ def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     def run(batches):
         opened, hashes = zstandard.ZstdDecompressor(), WordHashes()
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for doc, tag, raw, units in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "pressed", "units"))):
                 words = opened.decompress(raw).split()
                 for u in units:
@@ -181,12 +182,12 @@ def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
                     # in large shards a unit stands on its anchor, on each if there are several
                     places = np.flatnonzero(runs(hashes(own), anchor).view(np.int64) == u["anchor"]).tolist() if u["large"] else [0]
                     for pos in places:
-                        for c, v in zip(cols, (u["anchor"], u["large"], doc, tag, u["at"], pos, b" ".join(own))):
+                        for c, v in zip(cols, (u["anchor"], u["large"], doc, tag, u["at"], u["at"], pos, b" ".join(own))):
                             c.append(v)
                 if len(cols[0]) > 4000:
-                    yield _batch(cols, "liliiib", CONTEXT)
-                    cols = [[] for _ in range(7)]
-            yield _batch(cols, "liliiib", CONTEXT)
+                    yield _batch(cols, "liliiiib", CONTEXT)
+                    cols = [[] for _ in range(8)]
+            yield _batch(cols, "liliiiib", CONTEXT)
 
     listed = places.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "large", "at", "n")).alias("units"))
     found = _pressed(docs).where("pressed IS NOT NULL").join(listed, ["doc", "tag"])
@@ -201,8 +202,8 @@ def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
         shard = automaton = held_doc = None
         pending: list[list[bytes]] = []
         for b in batches:
-            cols: list[list] = [[] for _ in range(4)]
-            for key, doc, tag, at, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "at", "words"))):
+            cols: list[list] = [[] for _ in range(5)]
+            for key, doc, tag, at, unit, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "at", "unit", "words"))):
                 if key != shard:
                     shard, automaton, held_doc, pending = key, SuffixAutomaton(), doc, []
                 elif doc != held_doc:
@@ -212,7 +213,7 @@ def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
                 words = raw.split(b" ")
                 ends = [i for i, n in enumerate(automaton.statistics(words)) if n >= length]
                 for a, z in _spans(ends, length):
-                    for c, v in zip(cols, (doc, tag, at + a, z - a)):
+                    for c, v in zip(cols, (doc, tag, at + a, z - a, unit)):
                         c.append(v)
                 if ends:
                     gone = set(ends)
@@ -220,7 +221,7 @@ def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
                     pending += [words[a:z] for a, z in _runs(new, length)]
                 else:
                     pending.append(words)
-            yield _batch(cols, "liii", SPAN)
+            yield _batch(cols, "liiii", SPAN)
 
     return contexts.repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "at").mapInArrow(run, SPAN)
 
@@ -236,7 +237,7 @@ def _runs(ends: list[int], size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-PIECE = "kind int, anchor long, doc long, tag int, at int, pos int, len int, words binary"
+PIECE = "kind int, anchor long, doc long, tag int, at int, unit int, pos int, len int, words binary"
 
 
 def _compared(length: int):
@@ -244,13 +245,13 @@ def _compared(length: int):
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
 
             def put(*row):
                 for c, v in zip(cols, row):
                     c.append(v)
 
-            for key, doc, tag, at, pos, raw, r in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "at", "pos", "words", "r"))):
+            for key, doc, tag, at, unit, pos, raw, r in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "at", "unit", "pos", "words", "r"))):
                 own, first, q = raw.split(b" "), r["words"].split(b" "), r["pos"]
                 left, right = 0, 0
                 while left < pos and left < q and own[pos - left - 1] == first[q - left - 1]:
@@ -258,19 +259,19 @@ def _compared(length: int):
                 while pos + right < len(own) and q + right < len(first) and own[pos + right] == first[q + right]:
                     right += 1
                 if doc > r["doc"] and left + right >= length:
-                    put(0, 0, doc, tag, at + pos - left, 0, left + right, b"")
+                    put(0, 0, doc, tag, at + pos - left, unit, 0, left + right, b"")
                 if (doc, tag, at, pos) == (r["doc"], r["tag"], r["at"], r["pos"]):
                     continue  # the first holder keeps its words
                 far = pos - left - 1
                 if far >= 0 and min(len(own), far + length) >= length:
                     new = xxhash.xxh64_intdigest(b"%d/l/%d/" % (key, left) + own[far]) - (1 << 63)
-                    put(1, new, doc, tag, at, pos, 0, b" ".join(own[: far + length]))
+                    put(1, new, doc, tag, at, unit, pos, 0, b" ".join(own[: far + length]))
                 far = pos + right
                 begin = max(0, far - length + 1)
                 if far < len(own) and begin <= pos and len(own) - begin >= length:
                     new = xxhash.xxh64_intdigest(b"%d/r/%d/" % (key, right) + own[far]) - (1 << 63)
-                    put(1, new, doc, tag, at + begin, pos - begin, 0, b" ".join(own[begin:]))
-            yield _batch(cols, "illiiiib", PIECE)
+                    put(1, new, doc, tag, at + begin, unit, pos - begin, 0, b" ".join(own[begin:]))
+            yield _batch(cols, "illiiiiib", PIECE)
 
     return run
 
@@ -282,17 +283,17 @@ def _split_large(large: DataFrame, length: int) -> tuple[list[DataFrame], list[D
         if large.isEmpty():
             return spans, small
         first = large.groupBy("anchor").agg(F.min(F.struct("doc", "tag", "at", "pos", "words")).alias("r"))
-        found = materialize(large.join(first, "anchor").select("anchor", "doc", "tag", "at", "pos", "words", "r").mapInArrow(_compared(length), PIECE), "descent")
-        spans.append(found.where("kind = 0").select("doc", "tag", "at", "len"))
+        found = materialize(large.join(first, "anchor").select("anchor", "doc", "tag", "at", "unit", "pos", "words", "r").mapInArrow(_compared(length), PIECE), "descent")
+        spans.append(found.where("kind = 0").select("doc", "tag", "at", "len", "unit"))
         pieces = found.where("kind = 1")
         sizes = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("n > 1 AND lo < hi")
-        pieces = materialize(pieces.join(sizes.select("anchor", "n"), "anchor").select("anchor", "n", "doc", "tag", "at", "pos", "words"), "pieces")
-        small.append(pieces.where(F.col("n") <= SHARD).select("anchor", "doc", "tag", "at", "words"))
+        pieces = materialize(pieces.join(sizes.select("anchor", "n"), "anchor").select("anchor", "n", "doc", "tag", "at", "unit", "pos", "words"), "pieces")
+        small.append(pieces.where(F.col("n") <= SHARD).select("anchor", "doc", "tag", "at", "unit", "words"))
         large = pieces.where(F.col("n") > SHARD)
     return [*spans, _window_spans(large, length)], small
 
 
-WINDOW = "w1 long, w2 long, doc long, tag int, at int"
+WINDOW = "w1 long, w2 long, doc long, tag int, at int, unit int"
 
 
 def _window_spans(contexts: DataFrame, length: int) -> DataFrame:
@@ -300,45 +301,56 @@ def _window_spans(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for doc, tag, at, raw in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "at", "words"))):
+            cols: list[list] = [[] for _ in range(6)]
+            for doc, tag, at, unit, raw in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "at", "unit", "words"))):
                 words = raw.split(b" ")
                 for i in range(len(words) - length + 1):
                     d = xxhash.xxh3_128_intdigest(b" ".join(words[i : i + length]))
-                    for c, v in zip(cols, ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), doc, tag, at + i)):
+                    for c, v in zip(cols, ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), doc, tag, at + i, unit)):
                         c.append(v)
                 if len(cols[0]) > 50_000:
-                    yield _batch(cols, "lllii", WINDOW)
-                    cols = [[] for _ in range(5)]
-            yield _batch(cols, "lllii", WINDOW)
+                    yield _batch(cols, "llliii", WINDOW)
+                    cols = [[] for _ in range(6)]
+            yield _batch(cols, "llliii", WINDOW)
 
     windows = contexts.mapInArrow(run, WINDOW)
     first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("most")).where("first < most")
-    return windows.join(first, ["w1", "w2"]).where("doc > first").select("doc", "tag", "at", F.lit(length).alias("len"))
+    return windows.join(first, ["w1", "w2"]).where("doc > first").select("doc", "tag", "at", F.lit(length).alias("len"), "unit")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans of words (doc, tag, at, len) that lie in windows of earlier documents.  docs: doc, tag, text."""
     units = materialize(_units(docs, length), "units")
     place = F.struct("doc", "tag", "at", "n")
-    distinct = units.groupBy("c1", "c2").agg(F.min(place).alias("p"), F.max("doc").alias("most"), F.first("anchor").alias("anchor"))
-    distinct = materialize(distinct.select("c1", "c2", "anchor", "p.*", "most"), "distinct-units")
-    again = distinct.where("most > doc").select("c1", "c2", F.col("doc").alias("first"))
-    whole = units.select("c1", "c2", "doc", "tag", "at", "n").join(again, ["c1", "c2"]).where("doc > first").select("doc", "tag", "at", (F.col("n") + length - 1).cast("int").alias("len"))
+    distinct = units.groupBy("c1", "c2").agg(F.min(place).alias("p"), (F.count("*") > 1).alias("again"), F.first("anchor").alias("anchor"))
+    distinct = materialize(distinct.select("c1", "c2", "anchor", "p.*", "again"), "distinct-units")
+    again = distinct.where("again").select("c1", "c2", F.col("doc").alias("first"), F.col("tag").alias("first_tag"), F.col("at").alias("first_at"))
+    others = units.select("c1", "c2", "doc", "tag", "at", "n").join(again, ["c1", "c2"]).where("doc > first OR tag <> first_tag OR at <> first_at")
+    others = materialize(others.select("doc", "tag", "at", "n", "first", "first_tag", "first_at"), "other-places")
+    whole = others.where("doc > first").select("doc", "tag", "at", (F.col("n") + length - 1).cast("int").alias("len"))
     shards = distinct.groupBy("anchor").agg(F.count("*").alias("n_units"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("n_units > 1 AND lo < hi")
     shards = materialize(shards.select("anchor", (F.col("n_units") > SHARD).cast("int").alias("large")), "shards")
     places = distinct.join(shards, "anchor").select("doc", "tag", "anchor", "large", "at", "n")
     contexts = materialize(_contexts(docs, places, length), "contexts")
     found, small = _split_large(contexts.where("large = 1"), length)
-    shards = contexts.where("large = 0").select("anchor", "doc", "tag", "at", "words")
+    shards = contexts.where("large = 0").select("anchor", "doc", "tag", "at", "unit", "words")
     for s in small:
         shards = shards.union(s)
+    streamed = _shard_spans(shards, length)
     for f in found:
-        whole = whole.union(f)
-    found = whole.union(_shard_spans(shards, length))
+        streamed = streamed.union(f)
+    streamed = materialize(streamed, "streamed-spans")
+    found = whole.union(streamed.drop("unit")).union(_at_other_places(streamed, others))
     return materialize(found, "spans")
 
 
+def _at_other_places(streamed: DataFrame, others: DataFrame) -> DataFrame:
+    """Spans found at a unit's first place, at the unit's other places in that document."""
+    first = streamed.select("doc", F.col("tag").alias("first_tag"), F.col("unit").alias("first_at"), (F.col("at") - F.col("unit")).alias("off"), "len")
+    same = others.where("doc = first").select("doc", "tag", "at", "first_tag", "first_at")
+    return same.join(first, ["doc", "first_tag", "first_at"]).select("doc", "tag", (F.col("at") + F.col("off")).cast("int").alias("at"), "len")
+
+
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 

@@ -68,6 +68,23 @@ def test_substring_dedup(spark, tmp_path, monkeypatch, shard, levels):
     assert sorted(map(tuple, substring_dedup.op1_substring_dedup(spark, d).collect()), key=str) == removed(docs)
 
 
+@pytest.mark.parametrize("shard,levels", [(512, 8), (2, 8), (2, 1), (1, 0)])
+def test_passages_repeated_within_a_document(spark, tmp_path, monkeypatch, shard, levels):
+    monkeypatch.setattr(substring_dedup, "SHARD", shard)
+    monkeypatch.setattr(substring_dedup, "LEVELS", levels)
+    r = random.Random(5)
+    some = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    a, b, c, d, e, x, y = (some(60) for _ in range(7))
+    p, q = some(80), some(55)
+    docs = [[*c, *p, *d], [*a, *p, *b, *e, *a, *p, *b], [*a, *q, *b, *x, *a, *q, *b], [*y, *q, *a], [*x, *p, *y], [*y, *x, *p, *y, *e[:50], *x, *p, *y], [*d, *q, *e]]
+    rows = [(k, " ".join(w)) for k, w in zip([1, 2, 3, 4, 5, 5, 9], docs)]
+    rows += [(10 + i, " ".join([*some(20), *p, *some(20)])) for i in range(4)] + [(None, " ".join([*some(9), *p, *c])), (None, " ".join([*c, *p, *c, *c, *p, *c]))]
+    rows.append(rows[1])
+    schema = "doc_id long, text string"
+    d = write(spark, tmp_path, "documents", rows, schema)
+    assert sorted(map(tuple, substring_dedup.op1_substring_dedup(spark, d).collect()), key=str) == removed(rows)
+
+
 def test_cut_texts_keep_all_columns(spark):
     p = " ".join(f"p{i}" for i in range(60))
     df = spark.createDataFrame([(1, f"a\n{p} b", 9, "s", 5), (2, f"c  {p}\nd", 9, "t", 6)], "doc_id long, text string, n_chars long, doc string, spans int")
