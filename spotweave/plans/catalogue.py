@@ -13,6 +13,7 @@ from ..functions.scalar import uniform
 from ..functions.shared import cut
 from ..operators import aggregates as A
 from ..operators import clusters, filters, graph, knn, ncv, noise, polygons, qc, ranges, raster, reports, segmentation
+from ..options import SegmentationOptions
 from ..sources import sinks
 from ..sources.views import L_SQL, M_SQL, counts, molecules, vectors
 
@@ -420,19 +421,19 @@ def gene_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def noise_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = molecules(spark, sf_dir).drop("confidence")
-    return noise.append_confidence(m, 5, adjacency="knn", most=5).select("molecule_id", "confidence")
+    return noise.append_confidence(m, 5).select("molecule_id", "confidence")
 
 
 @query()
 def molecule_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = molecules(spark, sf_dir)
-    return clusters.cluster_molecules(m, _graph(m, keep_long=True), 4, most=3, expression=clusters.hashed_expression(m, 4))[0]
+    return clusters.cluster_molecules(m, _graph(m, "auto", keep_long=True), 4)[0]
 
 
 @query()
 def molecule_compartments(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = molecules(spark, sf_dir)
-    return clusters.compartments(m, _graph(m, keep_long=True), ["g0", "g1", "g2"], ["g3", "g4", "g5"], SCALE, most=3)
+    return clusters.compartments(m, _graph(m, "auto", keep_long=True), ["g0", "g1", "g2"], ["g3", "g4", "g5"], SCALE)
 
 
 @query()
@@ -443,11 +444,12 @@ def components_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def segment_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three iterations of the whole loop, with prior segmentation and clusters."""
+    """The whole loop, with prior segmentation and clusters: the default iterations, a tenth of them as history."""
     m = molecules(spark, sf_dir).withColumn("cluster", F.col("z") + 1).drop("cell", "z")
-    s = segmentation.Settings(SCALE, SCALE / 4, 30, history_depth=2)
+    iters = SegmentationOptions().iters
+    s = segmentation.Settings(SCALE, SCALE / 4, 30, history_depth=round(0.1 * iters))
     start = segmentation.initial_cells(m, max(2, m.count() // 30 * 2), s)
-    return segmentation.segment(m, _graph(m), start, 3, s)["assigned"]
+    return segmentation.segment(m, _graph(m, "auto"), start, iters, s)["assigned"]
 
 
 @query()

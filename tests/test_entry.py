@@ -1,12 +1,15 @@
 """Every registered query with SQL equals DuckDB's result; this covers what the molecule engine registers."""
 
 import glob
+import inspect
 import os
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from spotweave.operators import clusters, noise, segmentation
 from spotweave.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +38,33 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_fits_run_to_their_own_stops(spark, monkeypatch):
+    """The registered fits name no rounds, start or graph of their own."""
+    seen = {}
+
+    def spy(module, name, result):
+        real = getattr(module, name)
+
+        def called(*args, **kw):
+            bound = inspect.signature(real).bind(*args, **kw)
+            given = dict(bound.arguments)
+            bound.apply_defaults()
+            seen[name] = (given, bound.arguments)
+            return result(bound.arguments)
+
+        monkeypatch.setattr(module, name, called)
+
+    spy(noise, "append_confidence", lambda a: a["molecules"].withColumn("confidence", F.lit(1.0)))
+    spy(clusters, "cluster_molecules", lambda a: (a["molecules"], []))
+    spy(clusters, "compartments", lambda a: a["molecules"])
+    spy(segmentation, "segment", lambda a: {"assigned": a["molecules"]})
+    graphs = []
+    monkeypatch.setattr(catalogue, "_graph", lambda m, adjacency="knn", keep_long=False: graphs.append(adjacency) or m)
+    for name in ("noise_confidence", "molecule_clusters", "molecule_compartments", "segment_molecules"):
+        catalogue.queries()[name](spark, SF)
+    assert graphs == ["auto"] * 3 and seen["append_confidence"][1]["adjacency"] == "auto"
+    for name in ("append_confidence", "cluster_molecules", "compartments"):
+        assert not {"most", "expression", "tolerance", "patience"} & set(seen[name][0])
+    assert seen["segment"][1]["iters"] == 500 and seen["segment"][1]["s"].history_depth == 50
