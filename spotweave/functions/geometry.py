@@ -76,6 +76,13 @@ def delaunay(points: np.ndarray) -> np.ndarray:
 def voronoi_neighbours(centre: tuple, others: list[tuple], frame: tuple) -> tuple[list[int], float]:
     """Which of others (ascending by distance) share a border of the centre's Voronoi cell inside the
     frame (x0, y0, x1, y1), and the distance within which every point had to be known for that."""
+    poly, reach = voronoi_cell(centre, others, frame)
+    return sorted({o for *_, o in poly if o >= 0}), 2 * reach**0.5
+
+
+def voronoi_cell(centre: tuple, others: list[tuple], frame: tuple) -> tuple[list[tuple], float]:
+    """The cell's corners, each with the owner of the edge behind it (-1: the frame), and the largest
+    squared distance of a corner from the centre."""
     x0, y0, x1, y1 = frame
     cx, cy = centre
     poly = [(x0, y0, -1), (x1, y0, -1), (x1, y1, -1), (x0, y1, -1)]  # vertex, and who owns the edge behind it
@@ -107,7 +114,7 @@ def voronoi_neighbours(centre: tuple, others: list[tuple], frame: tuple) -> tupl
         if not poly:
             break
         reach = max((x - cx) ** 2 + (y - cy) ** 2 for x, y, _ in poly)
-    return sorted({o for *_, o in poly if o >= 0}), 2 * reach**0.5
+    return poly, reach
 
 
 def points_in_triangle(p: np.ndarray, a, b, c) -> np.ndarray:

@@ -89,6 +89,15 @@ def test_delaunay_edges(spark):
     assert found <= edges and len(edges - found) < 20
 
 
+def test_delaunay_edges_beyond_the_most_neighbours(spark):
+    """Two dense groups far apart: cells at their rims need points on the other side."""
+    rng = np.random.default_rng(7)
+    xy = np.concatenate([rng.random((150, 2)), rng.random((150, 2)) + [4, 0.3]])
+    df = spark.createDataFrame([(i + 1, float(x), float(y)) for i, (x, y) in enumerate(xy)], "molecule_id long, x double, y double")
+    edges = lambda **kw: {(r.src, r.dst) for r in graph.delaunay_edges(df, **kw).collect()}
+    assert edges(k=8, most=24) == edges(k=300, most=300)
+
+
 @pytest.mark.parametrize("kind", ["knn", "both", "auto"])
 def test_graphs(spark, kind):
     df, _ = uniform(spark, 120)
