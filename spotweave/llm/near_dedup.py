@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, row_tag, table
+from .common import bounded_batches, materialize, table
 from .decontaminate import words_of
 from .shingles import WordHashes, mix, runs
 
@@ -150,7 +150,7 @@ def _signatures(docs: DataFrame, sent) -> DataFrame:
                 bands.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "tag", "h1", "h2", "bands"])
 
-    rows = docs.select("doc_id", row_tag(F.col("text")).alias("tag"), "text").mapInArrow(run, "doc_id long, tag int, h1 long, h2 long, bands array<long>")
+    rows = docs.select("doc_id", F.hash("text").alias("tag"), "text").mapInArrow(run, "doc_id long, tag int, h1 long, h2 long, bands array<long>")
     return materialize(rows.select("doc_id", F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.coalesce("tag", F.lit(0)).alias("tag")).cast(K).alias("k"), "h1", "h2", "bands"), "signatures")
 
 
@@ -162,7 +162,7 @@ def _payloads(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())], ["k", "pressed"])
 
-    keyed = docs.where("text IS NOT NULL").select(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), row_tag(F.col("text")).alias("tag")).cast(K).alias("k"), "text")
+    keyed = docs.where("text IS NOT NULL").select(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.hash("text").alias("tag")).cast(K).alias("k"), "text")
     # compressed before the shuffle; equal rows leave one
     pressed = keyed.mapInArrow(run, f"k {K}, pressed binary").withColumn("size", F.length("pressed"))
     return materialize(pressed.join(nodes, "k", "left_semi").dropDuplicates(["k"]), "payloads")
@@ -314,7 +314,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     """One document of each class, the one of the least doc_id, in the columns of docs."""
     classes = near_duplicates(docs, similarity)
     first = classes.where("k = label").select("k").distinct()
-    named = {"_k": F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.coalesce(row_tag(F.col("text")), F.lit(0)).alias("tag")).cast(K)}
+    named = {"_k": F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.coalesce(F.hash("text"), F.lit(0)).alias("tag")).cast(K)}
     kept = docs.withColumns(named).join(first.withColumnRenamed("k", "_k"), "_k", "left_semi")
     return kept.dropDuplicates(["_k"]).select(*docs.columns)
 

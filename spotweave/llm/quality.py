@@ -32,7 +32,7 @@ EPOCHS = 4
 L1 = 0.04
 KEEP_TAIL = 0.5
 ADDED = ("expected_grade", "p_ge1", "p_ge2", "grade", "kept")
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def _hash(kind: str, s: str) -> int:

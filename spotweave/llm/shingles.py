@@ -7,7 +7,7 @@ import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 class WordHashes:

@@ -6,8 +6,9 @@ lesser doc_id; words that such a window covers are removed.
 All documents are the reference of all later ones, so whole automata sent to all tasks would be
 quadratic.  Shards are therefore cut by content.  A window's anchor is the least hash of its
 ANCHOR-word runs; equal windows have equal anchors, so windows are dealt out by anchor.
-1. Consecutive windows of one anchor form a unit.  Units of equal words (128-bit hash) are counted
-   together: those that an earlier document has too go whole.  (Aggregated before the shuffle.)
+1. Consecutive windows of one anchor form a unit.  Units of equal words (a 128-bit digest of the words
+   themselves) are counted together: those that an earlier document has too go whole.  (Aggregated before
+   the shuffle.)
 2. Anchors with units of different words are the reference shards: edges of passages and places of
    edits.  Each distinct unit is sent once, by the first document that has it; in the order of
    documents it is streamed through the shard's suffix automaton for matching statistics, spans of
@@ -22,8 +23,13 @@ ANCHOR-word runs; equal windows have equal anchors, so windows are dealt out by
    (128 bits) and counted in an aggregation, which no key can overload.
 4. Spans return to their documents by one join.
 
+The compressed rows are written once, each with a number of its own, by which all else refers to them: rows
+that share a doc_id, or both doc_id and text, are never mixed up.  A task holds one text and the
+automaton of one small shard at a time, so long texts need no more than themselves.
+
 Null texts have no words.  Null doc_ids rank last, all equal.  Rows that share a doc_id are no
-reference for one another.  Documents of fewer than LENGTH words stay as they are.
+reference for one another.  Documents of fewer than LENGTH words stay as they are.  An empty table
+gives an empty one.  Other columns, whatever their names, are kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -39,20 +45,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize, row_tag, table
+from .common import bounded_batches, drop, fitted, frugal, materialize, size_of, table
 from .shingles import WordHashes, runs, sliding_min
 
 LENGTH = 50
 ANCHOR = 12
 SHARD = 512
 LEVELS = 8
-LAST = 2**63 - 1
-UNIT = "anchor long, c1 long, c2 long, doc long, tag int, at int, n int"
-SPAN = "doc long, tag int, at int, len int, unit int"  # unit: where its unit begins
+UNIT = "anchor long, c1 long, c2 long, nul boolean, doc long, rid long, at int, n int"
+SPAN = "rid long, at int, len int, unit int"  # unit: where its unit begins
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()  # bytes split at \x20 and \x09-\x0D only
+def words_of(raw: bytes | None) -> list[bytes]:
+    return (raw or b"").split()  # bytes split at \x20 and \x09-\x0D only
 
 
 class SuffixAutomaton:
@@ -119,54 +124,55 @@ def _spans(covered: list[int], size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _units(docs: DataFrame, length: int) -> DataFrame:
+def _units(rows: DataFrame, length: int) -> DataFrame:
     anchor = min(ANCHOR, length)
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, opened = WordHashes(), zstandard.ZstdDecompressor()
+        held: list[list[np.ndarray]] = [[] for _ in range(8)]
+        n_held = 0
+
+        def flush():
+            nonlocal n_held
+            cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in held]
+            for c in held:
+                c.clear()
+            n_held = 0
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(bool) if x.endswith("boolean") else c, pa.int32() if x.endswith(" int") else None) for c, x in zip(cols, UNIT.split(", "))], [x.split()[0] for x in UNIT.split(", ")])
+
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for doc, tag, text in zip(b.column("doc").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist()):
-                words = words_of(text)
+            for nul, doc, rid, raw in zip(*(b.column(c).to_pylist() for c in ("nul", "doc", "rid", "pressed"))):
+                words = words_of(None if raw is None else opened.decompress(raw))
                 if len(words) < length:
                     continue
-                h = hashes(words)
-                key = sliding_min(runs(h, anchor), length - anchor + 1)
+                key = sliding_min(runs(hashes(words), anchor), length - anchor + 1).view(np.int64)
                 begin = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-                end = np.append(begin[1:], len(key))
-                raw = memoryview(h.tobytes())
-                for k, a, z in zip(key[begin].view(np.int64).tolist(), begin.tolist(), end.tolist()):
-                    d = xxhash.xxh3_128_intdigest(raw[8 * a : 8 * (z + length - 1)])
-                    for c, v in zip(cols, (k, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), doc, tag, a, z - a)):
-                        c.append(v)
-                if len(cols[0]) > 50_000:
-                    yield _batch(cols, "lllliii", UNIT)
-                    cols = [[] for _ in range(7)]
-            yield _batch(cols, "lllliii", UNIT)
+                n = np.diff(begin, append=len(key))
+                # the digest is of the words themselves
+                text = memoryview(b" ".join(words))
+                stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                lo, hi = np.concatenate([[0], stop])[begin].tolist(), (stop[begin + n + length - 2] - 1).tolist()
+                d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(lo, hi)]), ">i8").astype(np.int64)
+                size = len(begin)
+                for c, v in zip(held, (key[begin], d[::2], d[1::2], np.full(size, int(nul)), np.full(size, doc), np.full(size, rid), begin, n)):
+                    c.append(v)
+                n_held += size
+                if n_held > 20_000:
+                    yield flush()
+        yield flush()
 
-    return docs.mapInArrow(run, UNIT)
+    return rows.select("nul", "doc", "rid", "pressed").mapInArrow(frugal(run), UNIT)
 
 
 def _batch(cols: list[list], kinds: str, schema: str) -> pa.RecordBatch:
-    kind = {"l": pa.int64(), "i": pa.int32(), "b": pa.binary()}
+    kind = {"l": pa.int64(), "i": pa.int32(), "b": pa.binary(), "n": pa.bool_()}
     return pa.RecordBatch.from_arrays([pa.array(c, kind[k]) for c, k in zip(cols, kinds)], [x.split()[0] for x in schema.split(", ")])
 
 
-def _pressed(docs: DataFrame) -> DataFrame:
-    """Texts compressed before they are shuffled."""
-
-    def run(batches):
-        press = zstandard.ZstdCompressor(3)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tag"), pa.array([None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())], ["doc", "tag", "pressed"])
-
-    return docs.mapInArrow(run, "doc long, tag int, pressed binary")
-
-
-CONTEXT = "anchor long, large int, doc long, tag int, at int, unit int, pos int, words binary"
+CONTEXT = "anchor long, large int, nul boolean, doc long, rid long, at int, unit int, pos int, words binary"
 
 
-def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
+def _contexts(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """The words of units that need their shard's automaton."""
 
     anchor = min(ANCHOR, length)
@@ -174,25 +180,23 @@ def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     def run(batches):
         opened, hashes = zstandard.ZstdDecompressor(), WordHashes()
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for doc, tag, raw, units in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "pressed", "units"))):
-                words = opened.decompress(raw).split()
+            cols: list[list] = [[] for _ in range(9)]
+            for nul, doc, rid, raw, units in zip(*(b.column(c).to_pylist() for c in ("nul", "doc", "rid", "pressed", "units"))):
+                words = words_of(opened.decompress(raw))
                 for u in units:
                     own = words[u["at"] : u["at"] + u["n"] + length - 1]
                     # in large shards a unit stands on its anchor, on each if there are several
                     places = np.flatnonzero(runs(hashes(own), anchor).view(np.int64) == u["anchor"]).tolist() if u["large"] else [0]
                     for pos in places:
-                        for c, v in zip(cols, (u["anchor"], u["large"], doc, tag, u["at"], u["at"], pos, b" ".join(own))):
+                        for c, v in zip(cols, (u["anchor"], u["large"], nul, doc, rid, u["at"], u["at"], pos, b" ".join(own))):
                             c.append(v)
                 if len(cols[0]) > 4000:
-                    yield _batch(cols, "liliiiib", CONTEXT)
-                    cols = [[] for _ in range(8)]
-            yield _batch(cols, "liliiiib", CONTEXT)
+                    yield _batch(cols, "linlliiib", CONTEXT)
+                    cols = [[] for _ in range(9)]
+            yield _batch(cols, "linlliiib", CONTEXT)
 
-    listed = places.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "large", "at", "n")).alias("units"))
-    found = _pressed(docs).where("pressed IS NOT NULL").join(listed, ["doc", "tag"])
-    # rows of one doc_id and one text are the same place
-    return found.mapInArrow(run, CONTEXT)
+    listed = places.groupBy("rid").agg(F.collect_list(F.struct("anchor", "large", "at", "n")).alias("units"))
+    return rows.select("nul", "doc", "rid", "pressed").join(listed, "rid").mapInArrow(frugal(run), CONTEXT)
 
 
 def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
@@ -202,18 +206,18 @@ def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
         shard = automaton = held_doc = None
         pending: list[list[bytes]] = []
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for key, doc, tag, at, unit, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "at", "unit", "words"))):
+            cols: list[list] = [[] for _ in range(4)]
+            for key, nul, doc, rid, at, unit, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "nul", "doc", "rid", "at", "unit", "words"))):
                 if key != shard:
-                    shard, automaton, held_doc, pending = key, SuffixAutomaton(), doc, []
-                elif doc != held_doc:
+                    shard, automaton, held_doc, pending = key, SuffixAutomaton(), (nul, doc), []
+                elif (nul, doc) != held_doc:
                     for w in pending:
                         automaton.add(w)
-                    held_doc, pending = doc, []
+                    held_doc, pending = (nul, doc), []
                 words = raw.split(b" ")
                 ends = [i for i, n in enumerate(automaton.statistics(words)) if n >= length]
                 for a, z in _spans(ends, length):
-                    for c, v in zip(cols, (doc, tag, at + a, z - a, unit)):
+                    for c, v in zip(cols, (rid, at + a, z - a, unit)):
                         c.append(v)
                 if ends:
                     gone = set(ends)
@@ -221,9 +225,9 @@ def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
                     pending += [words[a:z] for a, z in _runs(new, length)]
                 else:
                     pending.append(words)
-            yield _batch(cols, "liiii", SPAN)
+            yield _batch(cols, "liii", SPAN)
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "at").mapInArrow(run, SPAN)
+    return contexts.repartition("anchor").sortWithinPartitions("anchor", "nul", "doc", "rid", "at").mapInArrow(frugal(run), SPAN)
 
 
 def _runs(ends: list[int], size: int) -> list[tuple[int, int]]:
@@ -237,7 +241,7 @@ def _runs(ends: list[int], size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-PIECE = "kind int, anchor long, doc long, tag int, at int, unit int, pos int, len int, words binary"
+PIECE = "kind int, anchor long, nul boolean, doc long, rid long, at int, unit int, pos int, len int, words binary"
 
 
 def _compared(length: int):
@@ -245,55 +249,65 @@ def _compared(length: int):
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(10)]
 
             def put(*row):
                 for c, v in zip(cols, row):
                     c.append(v)
 
-            for key, doc, tag, at, unit, pos, raw, r in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "at", "unit", "pos", "words", "r"))):
+            for key, nul, doc, rid, at, unit, pos, raw, later, r in zip(*(b.column(c).to_pylist() for c in ("anchor", "nul", "doc", "rid", "at", "unit", "pos", "words", "later", "r"))):
                 own, first, q = raw.split(b" "), r["words"].split(b" "), r["pos"]
                 left, right = 0, 0
                 while left < pos and left < q and own[pos - left - 1] == first[q - left - 1]:
                     left += 1
                 while pos + right < len(own) and q + right < len(first) and own[pos + right] == first[q + right]:
                     right += 1
-                if doc > r["doc"] and left + right >= length:
-                    put(0, 0, doc, tag, at + pos - left, unit, 0, left + right, b"")
-                if (doc, tag, at, pos) == (r["doc"], r["tag"], r["at"], r["pos"]):
+                if later and left + right >= length:
+                    put(0, 0, nul, doc, rid, at + pos - left, unit, 0, left + right, b"")
+                if (rid, at, pos) == (r["rid"], r["at"], r["pos"]):
                     continue  # the first holder keeps its words
                 far = pos - left - 1
                 if far >= 0 and min(len(own), far + length) >= length:
                     new = xxhash.xxh64_intdigest(b"%d/l/%d/" % (key, left) + own[far]) - (1 << 63)
-                    put(1, new, doc, tag, at, unit, pos, 0, b" ".join(own[: far + length]))
+                    put(1, new, nul, doc, rid, at, unit, pos, 0, b" ".join(own[: far + length]))
                 far = pos + right
                 begin = max(0, far - length + 1)
                 if far < len(own) and begin <= pos and len(own) - begin >= length:
                     new = xxhash.xxh64_intdigest(b"%d/r/%d/" % (key, right) + own[far]) - (1 << 63)
-                    put(1, new, doc, tag, at + begin, unit, pos - begin, 0, b" ".join(own[begin:]))
-            yield _batch(cols, "illiiiiib", PIECE)
+                    put(1, new, nul, doc, rid, at + begin, unit, pos - begin, 0, b" ".join(own[begin:]))
+            yield _batch(cols, "ilnlliiiib", PIECE)
+
+    return frugal(run)
+
 
-    return run
+#: Whether a row's document ranks behind another's: null doc_ids do, all equal.
+_LATER = "(nul AND NOT {0}nul) OR (nul = {0}nul AND doc > {0}doc)"
+_SEVERAL = "min(doc) < max(doc) OR min(nul) <> max(nul)"
 
 
-def _split_large(large: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Spans found while large shards are split, and the small shards that are left."""
-    spans, small = [], []
+def _split_large(contexts: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Spans found while large shards are split, the small shards that are left, and the tables that hold them."""
+    spans, small, tables = [], [], []
+    large = contexts.where("large = 1")
     for _ in range(LEVELS):
         if large.isEmpty():
-            return spans, small
-        first = large.groupBy("anchor").agg(F.min(F.struct("doc", "tag", "at", "pos", "words")).alias("r"))
-        found = materialize(large.join(first, "anchor").select("anchor", "doc", "tag", "at", "unit", "pos", "words", "r").mapInArrow(_compared(length), PIECE), "descent")
-        spans.append(found.where("kind = 0").select("doc", "tag", "at", "len", "unit"))
+            return spans, small, tables
+        size = size_of(tables[-1] if tables else contexts)
+        first = large.groupBy("anchor").agg(F.min(F.struct("nul", "doc", "rid", "at", "pos", "words")).alias("r"))
+        met = large.join(first, "anchor").withColumn("later", F.expr(_LATER.format("r.")))
+        found = met.select("anchor", "nul", "doc", "rid", "at", "unit", "pos", "words", "later", "r").mapInArrow(_compared(length), PIECE)
+        found = materialize(fitted(found, 2 * size), "descent")
+        spans.append(found.where("kind = 0").select("rid", "at", "len", "unit"))
         pieces = found.where("kind = 1")
-        sizes = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("n > 1 AND lo < hi")
-        pieces = materialize(pieces.join(sizes.select("anchor", "n"), "anchor").select("anchor", "n", "doc", "tag", "at", "unit", "pos", "words"), "pieces")
-        small.append(pieces.where(F.col("n") <= SHARD).select("anchor", "doc", "tag", "at", "unit", "words"))
+        sizes = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.expr(_SEVERAL).alias("several")).where("n > 1 AND several")
+        pieces = materialize(fitted(pieces.join(sizes.select("anchor", "n"), "anchor").select("anchor", "n", "nul", "doc", "rid", "at", "unit", "pos", "words"), size_of(found)), "pieces")
+        tables += [found, pieces]
+        small.append(pieces.where(F.col("n") <= SHARD).select("anchor", "nul", "doc", "rid", "at", "unit", "words"))
         large = pieces.where(F.col("n") > SHARD)
-    return [*spans, _window_spans(large, length)], small
+    return [*spans, _window_spans(large, length)], small, tables
 
 
-WINDOW = "w1 long, w2 long, doc long, tag int, at int, unit int"
+WINDOW = "w1 long, w2 long, nul boolean, doc long, rid long, at int, unit int"
 
 
 def _window_spans(contexts: DataFrame, length: int) -> DataFrame:
@@ -301,54 +315,57 @@ def _window_spans(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for doc, tag, at, unit, raw in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "at", "unit", "words"))):
+            cols: list[list] = [[] for _ in range(7)]
+            for nul, doc, rid, at, unit, raw in zip(*(b.column(c).to_pylist() for c in ("nul", "doc", "rid", "at", "unit", "words"))):
                 words = raw.split(b" ")
                 for i in range(len(words) - length + 1):
                     d = xxhash.xxh3_128_intdigest(b" ".join(words[i : i + length]))
-                    for c, v in zip(cols, ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), doc, tag, at + i, unit)):
+                    for c, v in zip(cols, ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), nul, doc, rid, at + i, unit)):
                         c.append(v)
                 if len(cols[0]) > 50_000:
-                    yield _batch(cols, "llliii", WINDOW)
-                    cols = [[] for _ in range(6)]
-            yield _batch(cols, "llliii", WINDOW)
+                    yield _batch(cols, "llnllii", WINDOW)
+                    cols = [[] for _ in range(7)]
+            yield _batch(cols, "llnllii", WINDOW)
 
-    windows = contexts.mapInArrow(run, WINDOW)
-    first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("most")).where("first < most")
-    return windows.join(first, ["w1", "w2"]).where("doc > first").select("doc", "tag", "at", F.lit(length).alias("len"), "unit")
+    windows = contexts.mapInArrow(frugal(run), WINDOW)
+    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("nul", "doc")).alias("f"), F.expr(_SEVERAL).alias("several")).where("several")
+    return windows.join(first, ["w1", "w2"]).where(_LATER.format("f.")).select("rid", "at", F.lit(length).alias("len"), "unit")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Spans of words (doc, tag, at, len) that lie in windows of earlier documents.  docs: doc, tag, text."""
-    units = materialize(_units(docs, length), "units")
-    place = F.struct("doc", "tag", "at", "n")
+def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Spans of words (rid, at, len) that lie in windows of earlier documents.  rows: as ``_rows`` gives them."""
+    size = size_of(rows)
+    units = materialize(fitted(_units(rows, length), size), "units")
+    place = F.struct("nul", "doc", "rid", "at", "n")
     distinct = units.groupBy("c1", "c2").agg(F.min(place).alias("p"), (F.count("*") > 1).alias("again"), F.first("anchor").alias("anchor"))
-    distinct = materialize(distinct.select("c1", "c2", "anchor", "p.*", "again"), "distinct-units")
-    again = distinct.where("again").select("c1", "c2", F.col("doc").alias("first"), F.col("tag").alias("first_tag"), F.col("at").alias("first_at"))
-    others = units.select("c1", "c2", "doc", "tag", "at", "n").join(again, ["c1", "c2"]).where("doc > first OR tag <> first_tag OR at <> first_at")
-    others = materialize(others.select("doc", "tag", "at", "n", "first", "first_tag", "first_at"), "other-places")
-    whole = others.where("doc > first").select("doc", "tag", "at", (F.col("n") + length - 1).cast("int").alias("len"))
-    shards = distinct.groupBy("anchor").agg(F.count("*").alias("n_units"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("n_units > 1 AND lo < hi")
-    shards = materialize(shards.select("anchor", (F.col("n_units") > SHARD).cast("int").alias("large")), "shards")
-    places = distinct.join(shards, "anchor").select("doc", "tag", "anchor", "large", "at", "n")
-    contexts = materialize(_contexts(docs, places, length), "contexts")
-    found, small = _split_large(contexts.where("large = 1"), length)
-    shards = contexts.where("large = 0").select("anchor", "doc", "tag", "at", "unit", "words")
+    distinct = materialize(fitted(distinct.select("c1", "c2", "anchor", "p.*", "again"), size), "distinct-units")
+    first = F.struct("nul", "doc").alias("f")
+    again = distinct.where("again").select("c1", "c2", first, F.col("rid").alias("first_rid"), F.col("at").alias("first_at"))
+    others = units.join(again, ["c1", "c2"]).where("rid <> first_rid OR at <> first_at")
+    others = materialize(fitted(others.select("rid", "at", "n", F.expr(_LATER.format("f.")).alias("later"), "first_rid", "first_at"), size), "other-places")
+    drop(units)
+    whole = others.where("later").select("rid", "at", (F.col("n") + length - 1).cast("int").alias("len"))
+    shards = distinct.groupBy("anchor").agg(F.count("*").alias("n_units"), F.expr(_SEVERAL).alias("several")).where("n_units > 1 AND several")
+    places = distinct.join(shards, "anchor").select("rid", "anchor", (F.col("n_units") > SHARD).cast("int").alias("large"), "at", "n")
+    contexts = materialize(fitted(_contexts(rows, places, length), size), "contexts")
+    drop(distinct)
+    found, small, tables = _split_large(contexts, length)
+    shards = contexts.where("large = 0").select("anchor", "nul", "doc", "rid", "at", "unit", "words")
     for s in small:
         shards = shards.union(s)
     streamed = _shard_spans(shards, length)
     for f in found:
         streamed = streamed.union(f)
-    streamed = materialize(streamed, "streamed-spans")
-    found = whole.union(streamed.drop("unit")).union(_at_other_places(streamed, others))
-    return materialize(found, "spans")
+    streamed = materialize(fitted(streamed, 8 * size_of(contexts)), "streamed-spans")
+    drop(contexts, *tables)
+    return whole.union(streamed.drop("unit")).union(_at_other_places(streamed, others))
 
 
 def _at_other_places(streamed: DataFrame, others: DataFrame) -> DataFrame:
     """Spans found at a unit's first place, at the unit's other places in that document."""
-    first = streamed.select("doc", F.col("tag").alias("first_tag"), F.col("unit").alias("first_at"), (F.col("at") - F.col("unit")).alias("off"), "len")
-    same = others.where("doc = first").select("doc", "tag", "at", "first_tag", "first_at")
-    return same.join(first, ["doc", "first_tag", "first_at"]).select("doc", "tag", (F.col("at") + F.col("off")).cast("int").alias("at"), "len")
+    first = streamed.select(F.col("rid").alias("first_rid"), F.col("unit").alias("first_at"), (F.col("at") - F.col("unit")).alias("off"), "len")
+    same = others.where("NOT later").select("rid", "at", "first_rid", "first_at")
+    return same.join(first, ["first_rid", "first_at"]).select("rid", (F.col("at") + F.col("off")).cast("int").alias("at"), "len")
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -364,8 +381,8 @@ def _cut(raw: bytes, mask: np.ndarray) -> bytes:
     return b"".join(out).lstrip(b" \t\n\r\x0b\x0c")
 
 
-def _applied(docs: DataFrame, spans: DataFrame, others: list, want_text: bool) -> DataFrame:
-    """doc_id's row by row: others, n_words, n_removed, kept_sha256 and, if wanted, the kept text."""
+def _applied(rows: DataFrame, spans: DataFrame, others: list, want_text: bool) -> DataFrame:
+    """Row by row: others, n_words, n_removed, kept_sha256 and, if wanted, the kept text."""
     add = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([*others, *add, *([T.StructField("kept_text", T.StringType())] if want_text else [])])
     keep = [f.name for f in others]
@@ -376,7 +393,7 @@ def _applied(docs: DataFrame, spans: DataFrame, others: list, want_text: bool) -
             n, gone, sha, texts = [], [], [], []
             for raw, list_ in zip(b.column("pressed").to_pylist(), b.column("spans").to_pylist()):
                 raw = None if raw is None else opened.decompress(raw)
-                words = (raw or b"").split()
+                words = words_of(raw)
                 kept, text = words, raw
                 if list_:
                     mask = np.zeros(len(words), bool)
@@ -392,35 +409,36 @@ def _applied(docs: DataFrame, spans: DataFrame, others: list, want_text: bool) -
             new = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), *([pa.array(texts, pa.string())] if want_text else [])]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], schema.names)
 
-    listed = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "len")).alias("spans"))
-    return docs.join(listed, ["doc", "tag"], "left").select(*keep, "pressed", "spans").mapInArrow(run, schema)
-
+    listed = spans.groupBy("rid").agg(F.collect_list(F.struct("at", "len")).alias("spans"))
+    return fitted(rows.join(listed, "rid", "left").select(*keep, "pressed", "spans"), size_of(rows)).mapInArrow(frugal(run), schema)
 
-def _keyed(docs: DataFrame, *others: str) -> DataFrame:
-    return docs.select(*others, F.coalesce("doc_id", F.lit(LAST)).alias("doc"), row_tag(F.col("text")).alias("tag"), "text")
 
-
-def _pressed_rows(docs: DataFrame, others: list) -> DataFrame:
-    names = [f.name for f in others]
+def _rows(docs: DataFrame, others: list) -> DataFrame:
+    """others, nul, doc (the doc_id, 0 where null), rid (the row's number, once written) and the compressed text; written."""
+    keep = [*(f.name for f in others), "nul", "doc", "rid"]
 
     def run(batches):
         press = zstandard.ZstdCompressor(3)
         for b in batches:
             packed = pa.array([None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*names, "doc", "tag")), packed], [*names, "doc", "tag", "pressed"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), packed], [*keep, "pressed"])
+
+    schema = T.StructType([*others, *(T.StructField(n, t) for n, t in (("nul", T.BooleanType()), ("doc", T.LongType()), ("rid", T.LongType()), ("pressed", T.BinaryType())))])
+    numbered = docs.withColumn("rid", F.monotonically_increasing_id())
+    return materialize(fitted(numbered.select(*keep, "text").mapInArrow(frugal(run), schema), size_of(docs)), "rows")
+
 
-    schema = T.StructType([*others, T.StructField("doc", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("pressed", T.BinaryType())])
-    return docs.select(*names, "doc", "tag", "text").mapInArrow(run, schema)
+_RANK = ("doc_id IS NULL AS nul", "coalesce(CAST(doc_id AS long), 0L) AS doc")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated spans cut from their texts; n_chars follows, if it is there."""
     bounded_batches(docs.sparkSession)
-    spans = repeated_spans(_keyed(docs), length)
     names = {f"_o{i}": f.name for i, f in enumerate(docs.schema.fields) if f.name != "text"}
-    keyed = docs.select(*(F.col(f"`{n}`").alias(a) for a, n in names.items()), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), row_tag(F.col("text")).alias("tag"), "text")
+    keyed = docs.select(*(F.col(f"`{n}`").alias(a) for a, n in names.items()), *map(F.expr, _RANK), "text")
     others = [T.StructField(a, docs.schema[n].dataType) for a, n in names.items()]
-    done = _applied(_pressed_rows(keyed, others), spans, others, True)
+    rows = _rows(keyed, others)
+    done = _applied(rows, repeated_spans(rows, length), others, True)
     back = {n: F.col(a) for a, n in names.items()} | {"text": F.col("kept_text")}
     if "n_chars" in back:
         back["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(back["n_chars"]).cast(docs.schema["n_chars"].dataType)
@@ -430,9 +448,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    spans = repeated_spans(_keyed(docs))
     others = [T.StructField("doc_id", docs.schema["doc_id"].dataType)]
-    return _applied(_pressed_rows(_keyed(docs, "doc_id"), others), spans, others, False)
+    rows = _rows(docs.select("doc_id", *map(F.expr, _RANK), "text"), others)
+    return _applied(rows, repeated_spans(rows), others, False)
 
 
 OP1_SQL = r"""

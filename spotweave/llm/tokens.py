@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks that a worker remembers; beyond, it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Characters on which all Unicode versions of the pattern's classes agree.
 _SAFE = r"\x01-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20ac}"
 _UNUSUAL = r"[^" + _SAFE + r"]|[\x09-\x0d \x{85}\x{a0}] |<\|"
