@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct chunks that a worker remembers; beyond, it starts anew.
-REMEMBERED = 100_000
+#: Distinct chunks, and their characters, that a worker remembers; beyond, it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 16 << 20
 #: Characters on which all Unicode versions of the pattern's classes agree.
 _SAFE = r"\x01-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20ac}"
 _UNUSUAL = r"[^" + _SAFE + r"]|[\x09-\x0d \x{85}\x{a0}] |<\|"
@@ -32,13 +32,13 @@ class _Pool:
     def __init__(self, dtype=np.uint32):
         self.index: dict[str, int] = {}
         self.ids = np.empty(1 << 20, dtype)
-        self.used = 0
+        self.used = self.chars = 0
         self.starts = np.empty(1 << 18, np.int64)
         self.lens = np.empty(1 << 18, np.int32)
 
     def clear(self) -> None:
         self.index.clear()
-        self.used = 0
+        self.used = self.chars = 0
 
     def add(self, chunks: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         n, k = len(self.index), len(chunks)
@@ -52,6 +52,7 @@ class _Pool:
         self.starts[n : n + k] = self.used + ends - lens
         self.lens[n : n + k] = lens
         self.used += len(ids)
+        self.chars += sum(map(len, chunks))
         self.index.update(zip(chunks, range(n, n + k)))
 
 
@@ -81,7 +82,7 @@ class ChunkEncoder:
         where = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
         missing = np.flatnonzero(where < 0)
         if len(missing):
-            if len(known) + len(missing) > REMEMBERED and len(known):
+            if (len(known) + len(missing) > REMEMBERED or self.pool.chars > REMEMBERED_CHARS) and len(known):
                 self.pool.clear()
                 missing, where = np.arange(len(words)), np.full(len(words), -1, np.int64)
             new = [words[i] for i in missing.tolist()]
@@ -134,8 +135,8 @@ class ChunkEncoder:
 
 
 class ByteBPE(ChunkEncoder):
-    """Byte-level BPE.  New chunks are encoded together by the rank merger and told apart by
-    their byte lengths; the library's own merges give the ranks."""
+    """Byte-level BPE.  A batch's distinct chunks are encoded together by the rank merger and told apart by
+    their byte lengths; a token's id is its rank."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -147,46 +148,47 @@ class ByteBPE(ChunkEncoder):
             self.size[v] = len(k)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.ranked = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.whole = _whole_tokens(path)
+        whole = _whole_tokens(path)
+        self.whole = pc.SetLookupOptions(pa.array(list(whole), pa.large_string()))
+        self.token = np.fromiter(whole.values(), np.uint32, len(whole))
 
-    def encode_chunks(self, chunks):
+    def _looked_up(self, chunks):
+        """All in Arrow and numpy: nothing is remembered between batches."""
+        coded = chunks.dictionary_encode()
+        words = coded.dictionary
+        if not len(words):
+            return np.empty(0, np.int64), np.empty(0, np.int32)
         # A vocabulary string that is proven to stand alone needs no merging.
-        whole = self.whole
-        alone = np.fromiter((whole.get(c, -1) for c in chunks), np.int64, len(chunks))
+        alone = pc.fill_null(pc.index_in(words, options=self.whole), -1).to_numpy()
         rest = np.flatnonzero(alone < 0)
-        lens = np.ones(len(chunks), np.int32)
-        if not len(rest):
-            return alone.astype(np.uint32), lens
+        merged = words.take(pa.array(rest))
         # Those that begin with a space and end in none can stand in one text: no token joins two.
-        some = [chunks[i] for i in rest.tolist()]
-        fits = np.fromiter((c[:1] == " " and not c[-1:].isspace() for c in some), bool, len(some))
-        flat, starts, counts = [], np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
-        if fits.any():
-            mass = [c for c, f in zip(some, fits.tolist()) if f]
-            joined = np.array(self.ranked.encode_ordinary("".join(mass)), np.uint32)
+        fits = pc.and_(pc.starts_with(merged, " "), pc.invert(pc.match_substring_regex(merged, r"[\s\x0b\x1c-\x1f\x{85}\x{a0}]\z"))).to_numpy(zero_copy_only=False)
+        mass = merged.filter(pa.array(fits))
+        flat, at = [self.token[alone[alone >= 0]]], np.flatnonzero(alone >= 0)
+        starts, counts = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
+        starts[at] = np.arange(len(at))
+        used = len(at)
+        if len(mass):
+            size = pc.binary_length(mass).to_numpy().astype(np.int64)
+            joined = np.array(self.ranked.encode_ordinary("".join(mass.to_pylist())), np.uint32)
+            borders = np.cumsum(size)
             upto = np.cumsum(self.size[joined])
-            borders = np.cumsum(np.fromiter(map(len, map(str.encode, mass)), np.int64, len(mass)))
             cut = np.searchsorted(upto, borders) + 1
             if cut[-1] != len(joined) or (upto[cut - 1] != borders).any():
                 raise AssertionError("a token crosses a chunk's border")
-            counts[fits] = np.diff(cut, prepend=0)
-            starts[fits] = cut - counts[fits]
+            n = np.diff(cut, prepend=0)
+            counts[rest[fits]], starts[rest[fits]] = n, used + cut - n
+            used += len(joined)
             flat.append(joined)
-        used = sum(map(len, flat))
-        for i in np.flatnonzero(~fits).tolist():
-            own = np.array(self.ranked.encode_ordinary(some[i]), np.uint32)
+        for i, c in zip(rest[~fits].tolist(), merged.filter(pa.array(~fits)).to_pylist()):
+            own = np.array(self.ranked.encode_ordinary(c), np.uint32)
             starts[i], counts[i] = used, len(own)
             used += len(own)
             flat.append(own)
-        lens[rest] = counts
-        ends = np.cumsum(lens)
-        out = np.empty(int(ends[-1]), np.uint32)
-        one = np.flatnonzero(alone >= 0)
-        out[ends[one] - 1] = alone[one]
-        there = np.cumsum(counts) - counts
-        step = np.arange(int(counts.sum()))
-        out[step + np.repeat(ends[rest] - counts - there, counts)] = np.concatenate(flat)[step + np.repeat(starts - there, counts)]
-        return out, lens
+        self.pool.ids = np.concatenate(flat)
+        of = coded.indices.to_numpy(zero_copy_only=False)
+        return starts[of], counts[of]
 
 
 class WordBPE(ChunkEncoder):
@@ -211,7 +213,8 @@ class WordBPE(ChunkEncoder):
             found = [t.id for t in self.model.tokenize("".join([chars[b] for b in piece.encode()]))]
             if len(self.pieces) >= REMEMBERED:
                 self.pieces.clear()
-            self.pieces[piece] = found
+            if len(piece) <= 64:  # longer ones seldom come again
+                self.pieces[piece] = found
         return found
 
     def encode_chunks(self, chunks):

@@ -272,11 +272,52 @@ def check_packing(rows, pieces, lib):
     return used / max(1, used + padding)
 
 
+def prose(r, n):
+    return ". ".join(" ".join(r.choices(["the", "quick", "foxes", "jump"], k=9)) for _ in range(n))
+
+
+def check_ranges(rows, pieces, lib, least):
+    """Pieces of rows that may share a doc_id: told apart by the order of their sequences."""
+    ids = sorted(([*ids_of(t, lib), 0] for _, t in rows), key=len)
+    ordered = sorted(pieces, key=lambda p: (p.sequence_id, p.offset))
+    docs: list = []
+    for p in ordered:
+        if p.start == 0:
+            docs.append([])
+        docs[-1].append(p)
+    assert sorted((str(d[0].doc_id), d[0].doc_tokens) for d in docs) == sorted((str(i), len(ids_of(t, lib)) + 1) for i, t in rows)
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    whole = [[(p.start, p.length, p.ids_crc32) for p in d] for d in docs]
+    left = list(ids)
+    for parts in whole:
+        assert [a for a, _, _ in parts] == list(np.cumsum([0] + [n for _, n, _ in parts])[:-1])
+        hit = next(x for x in left if len(x) == sum(n for _, n, _ in parts) and all(crc(x[a : a + n]) == c for a, n, c in parts))
+        left.remove(hit)
+    assert not left
+    fill: dict = {}
+    for p in ordered:
+        assert p.offset == fill.get(p.sequence_id, 0)
+        fill[p.sequence_id] = p.offset + p.length
+    assert max(fill.values()) <= 1024 and set(fill) == set(range(len(fill)))
+    assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in fill.values()) <= (1 - least) * sum(fill.values())
+
+
 def test_packing(spark, tmp_path):
     r = random.Random(4)
-    rows = list(enumerate(ODD)) + [(100 + i, ". ".join(" ".join(r.choices(["the", "quick", "foxes", "jump"], k=9)) for _ in range(r.randint(1, 90)))) for i in range(150)]
+    rows = list(enumerate(ODD)) + [(100 + i, prose(r, r.randint(1, 90))) for i in range(150)]
     d = write(spark, tmp_path, "documents", rows, "doc_id long, text string")
     assert check_packing(rows, packing.op10_packing(spark, d).collect(), library("byte_bpe_50k.json")) > 0.93
+    assert packing.pack(spark.read.parquet(f"{d}/documents.parquet").where("false"), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_packing_in_several_blocks(spark):
+    """Small blocks, a document longer than a block, null and repeated ids, equal rows, names that the operator uses."""
+    r = random.Random(8)
+    rows = [(i // 2, prose(r, r.randint(1, 90))) for i in range(60)] + [(None, prose(r, 20)), (None, prose(r, 30)), (5, prose(r, 5000)), (None, None)]
+    rows += [rows[0], rows[-2]]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, part int, tag string").coalesce(1)
+    pieces = packing.pack(df, P.path("byte_bpe_50k.json"), block=1 << 14).collect()
+    check_ranges(rows, pieces, library("byte_bpe_50k.json"), 0.93)
 
 
 def test_cuts_are_the_best():
