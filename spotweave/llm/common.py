@@ -82,7 +82,9 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+        # row groups and pages are looked at from the first row on: a hundred long rows would be too many
+        small = {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+        df.write.options(**{k: str(v) for k, v in small.items()}).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -34,8 +34,9 @@ ADDED = ("n_words", "n_hit", "n_items", "items", "matches", "contaminated")
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_at", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("length", T.IntegerType())])
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+def words_of(text: str | bytes | None) -> list[bytes]:
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return raw.translate(_FOLD).split()
 
 
 class TestSet:

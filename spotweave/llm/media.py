@@ -68,7 +68,7 @@ def encode_media(df: DataFrame, text: str = "text", media: str = "media") -> Dat
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(size, pa.int64()), pa.array(flac.encode_many(loads), pa.binary())], [*names, "n_bytes", media])
 
-    return spare.mapInArrow(run, schema)
+    return spare.mapInArrow(frugal(run), schema)
 
 
 def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
@@ -95,7 +95,7 @@ def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
                 cols = [pa.array(c, pa.int64() if t == L else pa.string()) for c, (_, t) in zip(zip(*rows), FEATURES)]
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[: len(names)], *cols], [*names, *new])
 
-    return df.select(*names, media).mapInArrow(run, schema)
+    return df.select(*names, media).mapInArrow(frugal(run), schema)
 
 
 def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", frames: int = flac.SEEK_EVERY) -> DataFrame:
@@ -114,7 +114,7 @@ def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", frames:
                 part = [pcm[a : a + span] for a in at]
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(at), b.schema.field(0).type), pa.array(list(range(len(at))), pa.int64()), pa.array(at, pa.int64()), pa.array([len(p) for p in part], pa.int64()), pa.array([int(starts[a // flac.BLOCK]) for a in at], pa.int64()), pa.array(part, pa.binary())], names)
 
-    return df.select(key, media).mapInArrow(run, schema)
+    return df.select(key, media).mapInArrow(frugal(run), schema)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

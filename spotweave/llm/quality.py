@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table
+from .common import bounded_batches, frugal, table
 
 DIMENSIONS = 1 << 18
 MAX_LABELLED = 10_000
@@ -146,10 +146,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
             used = np.flatnonzero(w).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"idx": [used.tobytes()], "w": [w[used].astype(np.float64).tobytes()], "t1": [t1], "t2": [t2]})
 
-    made = some.mapInArrow(features, "doc_id long, grade int, idx binary, val binary")
+    made = some.mapInArrow(frugal(features), "doc_id long, grade int, idx binary, val binary")
     # rows that share a doc_id stand at random; the order of the rest is that of the hash
     one = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "idx")
-    found = one.mapInArrow(learn, "idx binary, w binary, t1 double, t2 double").collect()
+    found = one.mapInArrow(frugal(learn), "idx binary, w binary, t1 double, t2 double").collect()
     if not found:
         return None
     w = np.zeros(DIMENSIONS)
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, text:
             new = [pa.array(np.round(p.sum(1), 6)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(grade.astype(np.int32)), pa.array(p[:, 1] >= keep_tail)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *ADDED])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, keep_tail: float = KEEP_TAIL) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table
+from .common import bounded_batches, frugal, table
 
 LIMIT = 512
 ADDED = ("n_bytes", "n_tokens", "over_limit")
@@ -38,7 +38,7 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
             size = pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, size, pa.array(n, pa.int64()), pa.array(np.asarray(n) > limit)], [*b.schema.names, *ADDED])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

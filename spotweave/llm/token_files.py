@@ -102,7 +102,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, end: int = END
 
     ordered = df.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     # one row for each file: its bases are the prefix sums
-    made = sorted(tuple(r) for r in ordered.mapInArrow(run, PART).collect())
+    made = sorted(tuple(r) for r in ordered.mapInArrow(frugal(run), PART).collect())
     base, rows = 0, []
     for part, docs, ids in made:
         rows.append((part, docs, ids, base))
@@ -131,7 +131,7 @@ def read_token_files(parts: DataFrame, folder: str, vocabulary: int = 1 << 16) -
                         "ids_crc32": pa.array(crc, pa.int64()),
                     })
 
-    return parts.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.mapInArrow(frugal(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

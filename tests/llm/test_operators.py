@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +163,23 @@ def test_media(spark, tmp_path):
 # 4
 
 
+def tf_idf(texts):
+    """Every text's shingles and weights by true document frequencies."""
+    sets, df = [], Counter()
+    for t in texts:
+        w = decontaminate.words_of(t)
+        k = min(5, len(w))
+        sets.append(Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1) if k))
+        df.update(sets[-1].keys())
+    n = sum(map(bool, sets))
+    return [{g: c * np.log1p(n / df[g]) for g, c in s.items()} for s in sets]
+
+
+def similar(a, b):
+    low = sum(min(x, b[g]) for g, x in a.items() if g in b)
+    return low / (sum(a.values()) + sum(b.values()) - low) if a and b else 0.0
+
+
 @pytest.mark.parametrize("small", [32, 3])
 def test_near_duplicates(spark, tmp_path, monkeypatch, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)
@@ -177,18 +196,11 @@ def test_near_duplicates(spark, tmp_path, monkeypatch, small):
             docs += [" ".join(w)] * r.choice([1, 1, 2])
     rows = [*enumerate([*docs, "", "a b", "a b", None]), (None, docs[0]), (3, docs[3])]
     d = write(spark, tmp_path, "documents", rows, "doc_id long, text string")
-    hashes = WordHashes()
-    sets, df, n = [near_dedup.shingles_of(t, hashes) for _, t in rows], np.zeros(near_dedup.BUCKETS, np.int64), 0
-    for s, _, w in sets:
-        if len(w):
-            df[np.unique(s & np.uint64(near_dedup.BUCKETS - 1)).astype(int)] += 1
-            n += 1
-    idf = near_dedup.inverse_frequencies(df, n)
-    weighted = [(s, tf * idf[(s & np.uint64(near_dedup.BUCKETS - 1)).astype(int)]) for s, tf, _ in sets]
+    weighted = tf_idf([t for _, t in rows])
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if len(weighted[i][0]) and len(weighted[j][0]) and near_dedup.weighted_jaccard(weighted[i], weighted[j]) >= 0.8 and label[i] != label[j]:
+            if label[i] != label[j] and similar(weighted[i], weighted[j]) >= 0.8:
                 old = label[i]
                 label = [label[j] if x == old else x for x in label]
     rank = lambda x: 2**63 - 1 if x is None else x
@@ -199,6 +211,44 @@ def test_near_duplicates(spark, tmp_path, monkeypatch, small):
     assert kept.count() == len({c for _, c in want})
 
 
+def test_document_frequencies(spark, monkeypatch):
+    """The blocks' codes against true counts, with several groups."""
+    monkeypatch.setattr(near_dedup, "GROUP_BYTES", 2000)
+    docs = corpus(9, 80) + [(300, None), (301, "x y")]
+    blocks = near_dedup._blocks(spark.createDataFrame(docs, "doc_id long, text string"))
+    codes = near_dedup._frequencies(blocks).collect()
+    assert len({r.p for r in codes}) > 3
+    hashes, df = WordHashes(), Counter()
+    for _, t in docs:
+        df.update(near_dedup.shingles_of((t or "").encode(), hashes)[0].tolist())
+    for r in blocks.collect():
+        _, _, distinct, _, _ = near_dedup._shingled(r.sizes, r.pressed, hashes)
+        got = np.frombuffer(b"".join(bytes(c.codes) for c in sorted(codes, key=lambda c: c.p) if c.block == r.block), np.uint8)
+        assert got.tolist() == [round(near_dedup.STEPS * np.log2(df[x])) for x in distinct.tolist()]
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Null ids, rows that share an id, the greatest and least ids, columns of the operator's own names."""
+    big, t = 2**63 - 1, [" ".join(f"w{i}{k}" for i in range(30)) for k in "abc"]
+    rows = [(None, t[0]), (None, t[1]), (big, t[0]), (-(2**63), t[2]), (7, t[1]), (7, t[2]), (7, None), (8, ""), (None, None), (7, t[1])]
+    df = spark.createDataFrame([(i, x, "r", 1) for i, x in rows], "doc_id long, text string, row string, rid int")
+    got = near_dedup.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    kept = sorted(((r.doc_id, r.text, r.row, r.rid) for r in near_dedup.drop_near_duplicates(df).collect()), key=str)
+    assert kept == sorted([(big, t[0], "r", 1), (7, t[1], "r", 1), (-(2**63), t[2], "r", 1), (7, None, "r", 1), (8, "", "r", 1), (None, None, "r", 1)], key=str)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are absent")
+def test_recall_on_the_table(spark):
+    """Of all pairs at 0.8 or more of a document whose id is divisible by 50 and any other: how many are in one class."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    weights = tf_idf([t for _, t in rows])
+    near = [(i, j) for i, (d, _) in enumerate(rows) if d % 50 == 0 for j in range(len(rows)) if i != j and similar(weights[i], weights[j]) >= 0.8]
+    of = {r.doc_id: r.class_id for r in near_dedup.op4_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    hits = [of[rows[i][0]] == of[rows[j][0]] for i, j in near]
+    assert len(hits) > 0 and sum(hits) >= 0.9 * len(hits)
+
+
 def test_samples_agree_as_often_as_sets():
     rng = np.random.default_rng(0)
     s = np.unique(rng.integers(1, 2**62, 300, dtype=np.uint64))
