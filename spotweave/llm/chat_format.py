@@ -13,21 +13,28 @@ by pointer doubling, so a conversation of any length takes a logarithmic number
 several dependencies are then settled in rounds.  Dependencies on unknown ids are named in errors and
 ignored; calls on or behind a cycle have no level.  No conversation is ever gathered in one task.
 
+Only what can be written canonically is JSON here: NaN and infinite numbers, and values nested deeper than MAX_DEPTH,
+make a message plain.  Ids and names that are no strings count as their canonical JSON; a name that is no
+string is an unknown tool.  Lone surrogates, which UTF-8 doesn't have, stand as their escapes.
+
 Schemas are {tool: {parameter: (type, required)}} and travel with the tasks; they are few by contract
 (at most MAX_SCHEMA parameters, checked).  Null texts and JSON that does not parse are plain
 messages.  Null conv_ids form a conversation of their own.  Canonical JSON: keys sorted, no
-white space, UTF-8 unescaped.
+white space, UTF-8 unescaped.  An empty table gives an empty one; long texts need no more than themselves; other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, table
+from .common import bounded_batches, drop, fitted, frugal, materialize, size_of, table
 
 MAX_SCHEMA = 10_000
 TYPES = {"string": str, "object": dict, "array": list, "boolean": bool}
@@ -36,8 +43,20 @@ RESULT = "conv_id long, call_id string, turn long, content string"
 LINKED = "conv_id long, call_id string, turn long, result_turn long, level int, valid boolean, errors string, n_repeats int, json string"
 
 
+MAX_DEPTH = 200
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(s: str) -> str:
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", s)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def _name(value) -> str:
+    return escaped(value) if isinstance(value, str) else canonical(value)
 
 
 def _fits(value, kind: str) -> bool:
@@ -50,12 +69,12 @@ def _fits(value, kind: str) -> bool:
 
 def violations(name, arguments, schemas: dict) -> list[str]:
     """What the arguments lack against the tool's schema, sorted."""
-    if name not in schemas:
+    if not isinstance(name, str) or name not in schemas:
         return ["unknown tool"]
     if not isinstance(arguments, dict):
         return ["arguments are no object"]
     schema = schemas[name]
-    out = [f"{p}: unknown" for p in arguments if p not in schema]
+    out = [f"{escaped(p)}: unknown" for p in arguments if p not in schema]
     for p, (kind, required) in schema.items():
         if p not in arguments:
             if required:
@@ -65,14 +84,33 @@ def violations(name, arguments, schemas: dict) -> list[str]:
     return sorted(out)
 
 
+def _refuse(constant: str):
+    raise ValueError(f"{constant} is no JSON")
+
+
+def _finite(digits: str) -> float:
+    x = float(digits)
+    return x if math.isfinite(x) else _refuse(digits)
+
+
+def _deep(value) -> bool:
+    """Whether value is nested deeper than MAX_DEPTH."""
+    level = [value]
+    for _ in range(MAX_DEPTH):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return False
+    return True
+
+
 def _object(text) -> dict | None:
     if not text or not text.lstrip().startswith("{"):
         return None
     try:
-        found = json.loads(text)
-    except ValueError:
+        found = json.loads(text, parse_constant=_refuse, parse_float=_finite)
+    except (ValueError, RecursionError):
         return None
-    return found if isinstance(found, dict) else None
+    return found if isinstance(found, dict) and not _deep(found) else None
 
 
 def calls_of(messages: DataFrame, schemas: dict) -> DataFrame:
@@ -85,11 +123,11 @@ def calls_of(messages: DataFrame, schemas: dict) -> DataFrame:
                     if not isinstance(c, dict) or c.get("id") is None:
                         continue
                     args = c.get("arguments", {})
-                    after = [str(x) for x in c.get("after") or []] if isinstance(c.get("after") or [], list) else []
-                    rows.append({"conv_id": conv, "call_id": str(c["id"]), "turn": turn, "pos": pos, "name": None if c.get("name") is None else str(c["name"]), "arguments": canonical(args), "after": sorted(set(after)), "errors": violations(c.get("name"), args, schemas)})
+                    after = [_name(x) for x in c.get("after") or []] if isinstance(c.get("after") or [], list) else []
+                    rows.append({"conv_id": conv, "call_id": _name(c["id"]), "turn": turn, "pos": pos, "name": None if c.get("name") is None else _name(c["name"]), "arguments": canonical(args), "after": sorted(set(after)), "errors": violations(c.get("name"), args, schemas)})
             yield pa.RecordBatch.from_pylist(rows, schema=_CALL)
 
-    return messages.where("role = 'assistant'").select("conv_id", "turn", "text").mapInArrow(run, CALL)
+    return messages.where("role = 'assistant'").select("conv_id", "turn", "text").mapInArrow(frugal(run), CALL)
 
 
 def results_of(messages: DataFrame) -> DataFrame:
@@ -99,10 +137,10 @@ def results_of(messages: DataFrame) -> DataFrame:
             for conv, turn, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "text"))):
                 found = _object(text) or {}
                 if found.get("tool_call_id") is not None:
-                    rows.append({"conv_id": conv, "call_id": str(found["tool_call_id"]), "turn": turn, "content": canonical(found.get("content"))})
+                    rows.append({"conv_id": conv, "call_id": _name(found["tool_call_id"]), "turn": turn, "content": canonical(found.get("content"))})
             yield pa.RecordBatch.from_pylist(rows, schema=_RESULT)
 
-    return messages.where("role = 'tool'").select("conv_id", "turn", "text").mapInArrow(run, RESULT)
+    return messages.where("role = 'tool'").select("conv_id", "turn", "text").mapInArrow(frugal(run), RESULT)
 
 
 _STRINGS = pa.list_(pa.string())
