@@ -1,13 +1,14 @@
 """Media columns: payloads as FLAC streams, read back as checked PCM blocks.
 
-``encode_media`` turns a text or binary column into FLAC bytes, ``decode_media`` reads them back and
-computes features, ``pcm_blocks`` writes the samples as blocks with sample and byte offsets, from
-which ``flac.read_from`` can start anywhere.  All three map rows in place: no shuffle, memory
-bounded by one row and one batch.
+``encode_media`` turns a text or binary column into FLAC bytes, ``store_media`` writes them to the shared folder and
+gives the written table, ``decode_media`` reads streams back and computes features, ``pcm_blocks`` writes the samples as
+blocks with sample and byte offsets, from which ``flac.read_from`` can start anywhere (by the streams' seek
+tables).  Rows are mapped in place: no shuffle, memory bounded by one row and one batch.
 
 Payload: the text's UTF-8 bytes (null: none) and bytes 255 up to a positive multiple of 576.  Equal
 texts give equal values.  Repeated rows and other columns stay; columns of added names are replaced.
-A null media value decodes to nulls.
+A null media value decodes to nulls.  An empty table gives an empty one.  Long texts are coded some thousand
+frames at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import flac
-from .common import bounded_batches, table
+from .common import bounded_batches, frugal, materialize, table
 
 L, S = T.LongType(), T.StringType()
 FEATURES = [("payload_bytes", L), ("payload_sha256", S), ("tail_crc32", L), ("media_bytes", L), ("media_sha256", S), ("feature", S)]
@@ -109,7 +110,7 @@ def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", frames:
             for k, m in zip(b.column(0), b.column(1).to_pylist()):
                 if m is None:
                     continue
-                pcm, starts = flac.decode_many([m])[0], flac._frame_starts(m, flac.parse(m))
+                pcm, starts = flac.decode_with_offsets([m])[0]
                 at = list(range(0, len(pcm), span))
                 part = [pcm[a : a + span] for a in at]
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(at), b.schema.field(0).type), pa.array(list(range(len(at))), pa.int64()), pa.array(at, pa.int64()), pa.array([len(p) for p in part], pa.int64()), pa.array([int(starts[a // flac.BLOCK]) for a in at], pa.int64()), pa.array(part, pa.binary())], names)
@@ -117,6 +118,11 @@ def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", frames:
     return df.select(key, media).mapInArrow(frugal(run), schema)
 
 
+def store_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
+    """``encode_media``'s table, written to the shared folder, as it is read back from there."""
+    return materialize(encode_media(df, text, media), "media", "zstd")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = encode_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stored = store_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return decode_media(stored).select("doc_id", "n_bytes", *(n for n, _ in FEATURES))
