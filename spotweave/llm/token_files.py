@@ -1,14 +1,16 @@
 """Token ids as flat files, read by memory map.
 
-Each range of doc_ids becomes one pair of files in the shared folder: ``ids`` (all ids of its
-documents, unsigned 16-bit where the vocabulary allows, else 32-bit, little-endian) and
-``offsets`` (64-bit, one more than documents: where each begins).  A small ``docs`` file holds
-the doc_ids.  Files get their names by rename, so a task that runs twice leaves one result.
-Partition bases are prefix sums over one count for each file.
-
-Null texts are empty; an empty document has the end id alone.  Null doc_ids come first.  Rows
-that share a doc_id are separate documents, in the order of their texts.  Other columns are
-not stored.
+Each range of doc_ids becomes one set of files in the shared folder: ``ids`` (all ids of its
+documents, unsigned 16-bit where the vocabulary allows, else 32-bit, little-endian), ``offsets`` (64-bit, one more
+than documents: where each begins) and ``docs`` (each one's doc_id, 64-bit, and a byte that says whether it is
+null).  Files get their names by rename, so a task that runs twice leaves one result.  Partition bases are prefix
+sums over one count for each file; ``bases`` holds them (64-bit, one more than there are ranges).
+
+There are more ranges the more data there are, and rows that share a doc_id (or have none) are dealt out by
+their texts' hashes, in which order they stand.  Null texts are empty; an empty document has the end id
+alone.  Null doc_ids come first.  Rows that share a doc_id are separate documents, and equal rows too.  An empty
+table gives files without documents; long texts need no more than themselves and their ids.  Other columns,
+whatever their names, are not stored.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, local_path, partitions, table
+from .common import bounded_batches, fresh_path, frugal, local_path, ranges, table
 
 END = 1
 PART = "part int, n_docs long, n_ids long"
@@ -50,18 +53,29 @@ def _open_out(uri: str):
     return store.open_output_stream(own), named
 
 
-def _mapped(uri: str, dtype) -> np.ndarray:
-    """A file's numbers by memory map; a file elsewhere is read."""
-    path = local_path(uri)
-    if path is None:
-        from pyarrow import fs
+_DOC = np.dtype([("id", "<i8"), ("null", "u1")])
+
+
+class Stored:
+    """A file's numbers: by memory map, or where the folder isn't mounted by reading the range that is asked for."""
+
+    def __init__(self, uri: str, dtype):
+        self.kind, path = np.dtype(dtype), local_path(uri)
+        if path is None:
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(uri)
+            self.file, self.map = store.open_input_file(path), None
+            self.size = self.file.size() // self.kind.itemsize
+        else:
+            self.size = os.path.getsize(path) // self.kind.itemsize
+            self.map = np.memmap(path, self.kind, "r") if self.size else np.empty(0, self.kind)
 
-        store, path = fs.FileSystem.from_uri(uri)
-        with store.open_input_file(path) as f:
-            return np.frombuffer(f.read(), dtype)
-    if not os.path.getsize(path):
-        return np.empty(0, dtype)
-    return np.memmap(path, dtype, "r")
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.map is not None:
+            return np.asarray(self.map[part])
+        a, z, _ = part.indices(self.size)
+        return np.frombuffer(self.file.read_at(max(0, z - a) * self.kind.itemsize, a * self.kind.itemsize), self.kind)
 
 
 def write_token_files(df: DataFrame, tokenizer: str, folder: str, end: int = END, vocabulary: int = 1 << 16) -> DataFrame:
@@ -92,7 +106,10 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, end: int = END
             with_end[keep] = ids
             ids_to.write(with_end.tobytes())
             off_to.write((own + n_ids).astype("<u8").tobytes())
-            doc_to.write(np.asarray(b.column("doc_id").fill_null(np.iinfo(np.int64).min)).astype("<i8").tobytes())
+            docs = np.zeros(rows, _DOC)
+            docs["id"] = np.asarray(b.column("doc_id").fill_null(0))
+            docs["null"] = np.asarray(b.column("doc_id").is_null())
+            doc_to.write(docs.tobytes())
             n_docs, n_ids = n_docs + rows, n_ids + len(with_end)
         for f in (ids_to, off_to, doc_to):
             f.close()
@@ -100,13 +117,18 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, end: int = END
             done()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": pa.array([n_docs]), "n_ids": pa.array([n_ids])})
 
-    ordered = df.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = df.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    ordered = keyed.repartitionByRange(ranges(df), "doc_id", "tag").sortWithinPartitions("doc_id", "tag", "text").select("doc_id", "text")
     # one row for each file: its bases are the prefix sums
     made = sorted(tuple(r) for r in ordered.mapInArrow(frugal(run), PART).collect())
     base, rows = 0, []
     for part, docs, ids in made:
         rows.append((part, docs, ids, base))
         base += ids
+    to, named = _open_out(f"{folder}/bases")
+    to.write(np.array([*(r[3] for r in rows), base], "<u8").tobytes())
+    to.close()
+    named()
     spread = spark.createDataFrame(rows, PART + ", base long")
     return spread.repartition(max(1, len(rows)), "part")
 
@@ -119,13 +141,15 @@ def read_token_files(parts: DataFrame, folder: str, vocabulary: int = 1 << 16) -
         for b in batches:
             for row in b.to_pylist():
                 at = f"{folder}/{row['part']:06d}"
-                ids, off, docs = _mapped(at + ".ids", kind), _mapped(at + ".offsets", "<u8"), _mapped(at + ".docs", "<i8")
-                for lo in range(0, len(docs), 4096):
-                    some = np.asarray(docs[lo : lo + 4096])
-                    edge = np.asarray(off[lo : lo + len(some) + 1]).astype(np.int64)
-                    crc = [zlib.crc32(np.asarray(ids[a:z]).astype("<u4").tobytes()) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                ids, off, docs = Stored(at + ".ids", kind), Stored(at + ".offsets", "<u8"), Stored(at + ".docs", _DOC)
+                for lo in range(0, docs.size, 1024):
+                    some = docs[lo : lo + 1024]
+                    edge = off[lo : lo + len(some) + 1].astype(np.int64)
+                    own = edge - edge[0]
+                    raw = memoryview(ids[int(edge[0]) : int(edge[-1])].astype("<u4").tobytes())
+                    crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(own[:-1].tolist(), own[1:].tolist())]
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(some, pa.int64(), mask=some == np.iinfo(np.int64).min),
+                        "doc_id": pa.array(some["id"], pa.int64(), mask=some["null"] > 0),
                         "start": pa.array(edge[:-1] + row["base"]),
                         "n_tokens": pa.array(np.diff(edge)),
                         "ids_crc32": pa.array(crc, pa.int64()),
