@@ -6,9 +6,11 @@ expansion is exact and bounded by the rules.  Expressions meet the rules in an e
 first 8 digits of a SHA-256, the full digest confirms, and the longest rule that fits wins
 (ties: more labels, then block before allow, then the lesser text).
 
-The rules are broadcast while they number at most BROADCAST_RULES (a bound on their size by
-their own lengths); beyond, the join shuffles.  Null urls and urls without "://" have empty
-host and path, which no rule fits: the verdict is the default.  Repeated rows stay repeated.
+The rules are broadcast while their texts have at most BROADCAST_BYTES; beyond, the join shuffles.  Only expressions
+that meet a rule are aggregated, by host and path, of which any number of pages may share one.  Null urls and
+urls without "://" have empty host and path, which no rule fits: the verdict is the default.  Repeated rows stay
+repeated; without rules every page gets the default; an empty table gives an empty one.  Long urls cost their
+prefixes of the rules' lengths only.  Columns other than key and url are not kept.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 DEFAULT = "allow"
-BROADCAST_RULES = 100_000
+BROADCAST_BYTES = 8 << 20
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,23 +40,20 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, key:
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).distinct()
     rules = rules.withColumn("expression", F.concat("r_host", F.lit("\n"), "r_path"))
     rules = rules.withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, 8)).drop("r_host").withColumn("labels", F.size(F.split(F.substring_index("expression", "\n", 1), r"\.")))
-    shapes = rules.agg(F.count("*"), F.collect_set("labels"), F.collect_set(F.length("r_path"))).first()
-    n_rules, labels, lengths = shapes[0], sorted(shapes[1]), sorted(shapes[2])
-    # repeated rows are counted, and come back at the end
+    shapes = rules.agg(F.coalesce(F.sum(F.length("expression") + 200), F.lit(0)), F.collect_set("labels"), F.collect_set(F.length("r_path"))).first()
+    size, labels, lengths = shapes[0], sorted(shapes[1]), sorted(shapes[2])
     base = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    base = base.withColumn("row", F.monotonically_increasing_id())
     parts = F.split("host", r"\.", -1)
     hosts = F.array_distinct(F.filter(F.array(*[F.when(F.size(parts) >= n, F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".")) for n in labels]).cast("array<string>"), lambda x: x.isNotNull()))
     paths = F.array_distinct(F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]).cast("array<string>"), lambda x: x.isNotNull()))
-    expanded = base.withColumn("a_host", F.explode_outer(hosts)).withColumn("a_path", F.explode_outer(paths))
-    expanded = expanded.withColumn("a_digest", F.sha2(F.concat("a_host", F.lit("\n"), "a_path"), 256)).withColumn("short", F.substring("a_digest", 1, 8))
-    side = F.broadcast(rules) if n_rules <= BROADCAST_RULES else rules
-    met = expanded.join(side, "short", "left")
-    fits = F.col("digest") == F.col("a_digest")
+    made = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(F.sha2(F.concat(h, F.lit("\n"), p), 256).alias("a_digest")))))
+    expanded = base.select("host", "path", F.explode(made).alias("e")).select("host", "path", "e.a_digest", F.substring("e.a_digest", 1, 8).alias("short"))
+    side = F.broadcast(rules) if size <= BROADCAST_BYTES else rules
     rule = F.concat(F.substring_index("expression", "\n", 1), "r_path")
     rank = F.struct((-F.length(rule)).alias("longest"), (-F.col("labels")).alias("labels"), F.when(F.col("r_verdict") == "block", 0).otherwise(1).alias("strict"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))
-    best = met.groupBy("row", "page_id", "host", "path").agg(F.min(F.when(fits, rank)).alias("best"))
-    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = expanded.join(side, "short").where("digest = a_digest").groupBy("host", "path").agg(F.min(rank).alias("best"))
+    judged = base.join(best, ["host", "path"], "left")
+    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
