@@ -9,8 +9,10 @@ is one pass over all whole texts with the model (at most DIMENSIONS numbers) bro
 
 Documents without a word (null, empty) get grade 0 and are rejected.  Where no label is there,
 nothing is known and every document with words is kept.  Labels with a null doc_id or quality are left
-out, a null toxic counts as 0, several labels of one document give their lowest grade.  Repeated rows
-and other columns are kept; columns of the added names are replaced.
+out, a null toxic counts as 0, several labels of one document give their lowest grade; of several rows of one
+labelled doc_id the fit sees the least text, and all are scored.  Repeated rows
+and other columns are kept; columns of the added names are replaced.  An empty table gives an empty one; a
+long text needs no more than itself and its distinct words.
 """
 
 from __future__ import annotations
@@ -132,6 +134,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
     spark = docs.sparkSession
     bounded_batches(spark)
     some = docs.select("doc_id", "text").join(F.broadcast(graded(labels)), "doc_id")  # MAX_LABELLED rows at most
+    some = some.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # a document once, however often its row is repeated
 
     def features(batches):
         make = Features()
@@ -147,8 +150,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
             yield pa.RecordBatch.from_pydict({"idx": [used.tobytes()], "w": [w[used].astype(np.float64).tobytes()], "t1": [t1], "t2": [t2]})
 
     made = some.mapInArrow(frugal(features), "doc_id long, grade int, idx binary, val binary")
-    # rows that share a doc_id stand at random; the order of the rest is that of the hash
-    one = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "idx")
+    one = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     found = one.mapInArrow(frugal(learn), "idx binary, w binary, t1 double, t2 double").collect()
     if not found:
         return None
@@ -187,7 +189,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, text:
 
 def select_quality(docs: DataFrame, labels: DataFrame, keep_tail: float = KEEP_TAIL) -> DataFrame:
     """The documents that the classifier keeps, in their own columns."""
-    return score(docs, train(docs, labels), keep_tail=keep_tail).where("kept").select(*docs.columns)
+    own = docs.toDF(*(f"_o{i}" for i in range(len(docs.columns))))
+    scored = score(own, train(docs, labels), text=f"_o{docs.columns.index('text')}", keep_tail=keep_tail)
+    return scored.where("kept").select(*own.columns).toDF(*docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

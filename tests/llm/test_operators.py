@@ -131,9 +131,40 @@ def test_quality_on_held_out_documents(spark):
     assert all(x.p_ge1 >= x.p_ge2 and abs(x.expected_grade - x.p_ge1 - x.p_ge2) < 1e-5 for _, x in held)
     assert got[5000].grade == got[5001].grade == 0 and not got[5000].kept
     assert quality.score(docs, quality.train(docs, labels.where("false"))).where("kept").count() == 900
+    # repeated rows, several labels of one document and a very long text change nothing for the rest
+    more = docs.union(docs.where("doc_id < 5")).union(spark.createDataFrame([(6000, "word1 " * 200_000, "x")], docs.schema))
+    again = quality.score(more, quality.train(more, labels.union(labels.where("doc_id > 700"))))
+    assert {tuple(r) for r in again.where("doc_id < 900").collect()} == {tuple(r) for i, r in got.items() if i < 900} and again.count() == more.count()
     assert quality.select_quality(docs.where("false"), labels).count() == 0
 
 
+def test_fit_nears_the_best_likelihood():
+    """The fitted thresholds and weights against plain gradient descent on the same likelihood."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 3))
+    s = x @ [1.5, -1.0, 0.0] + rng.logistic(size=600)
+    y = np.searchsorted([-1.0, 1.0], s)
+
+    def loss(w, t1, t2):
+        z = x @ w
+        a, b = 1 / (1 + np.exp(t1 - z)), 1 / (1 + np.exp(t2 - z))
+        return -np.log(np.clip(np.choose(y, [1 - a, a - b, b]), 1e-12, 1)).mean()
+
+    p = np.array([0.0, 0.0, 0.0, -0.5, 0.5])
+    for _ in range(3000):
+        step = np.array([(loss((q := p + d)[:3], *q[3:]) - loss((q := p - d)[:3], *q[3:])) / 2e-5 for d in np.eye(5) * 1e-5])
+        p -= 0.5 * step
+    rows = [(int(g), np.arange(3, dtype=np.int32), v.astype(np.float32)) for g, v in zip(y, x)]
+    w, t1, t2 = quality.fit(rows, epochs=30, l1=0.0, l2=0.0)
+    assert t1 < t2 and loss(w[:3], t1, t2) < loss(p[:3], *p[3:]) + 0.02
+    # a model's numbers for a text, by hand
+    text = "Good words, good WORDS!"
+    i, v = quality.Features()(text)
+    known = (np.linspace(-1, 1, quality.DIMENSIONS), -0.3, 0.4)
+    score = float((known[0][i] * v).sum())
+    assert quality._sigmoid(score + 0.3) > quality._sigmoid(score - 0.4) and len(set(i.tolist())) == len(i)
+
+
 # 3
 
 
@@ -155,6 +186,11 @@ def test_media(spark, tmp_path):
     for i, t in enumerate(ODD):
         p = media.payload(t)
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert got[i].media_sha256 == hashlib.sha256(flac.encode_many([p])[0]).hexdigest() and got[i].feature == media.feature(p)
+        assert got[i].media_bytes == len(flac.encode_many([p])[0])
+    twice = spark.createDataFrame([(1, "x", 5, "f"), (1, "x", 5, "f"), (2, None, None, "g")], "doc_id long, text string, n_bytes int, feature string")
+    again = [tuple(r) for r in media.decode_media(media.store_media(twice)).collect()]
+    assert len(again) == 3 and again[0] == again[1] and media.decode_media(media.encode_media(twice.where("false"))).count() == 0
     coded = media.encode_media(spark.createDataFrame([(1, "x" * 90_000)], "doc_id long, text string"))
     blocks = media.pcm_blocks(coded).orderBy("block").collect()
     assert b"".join(b.pcm for b in blocks) == media.payload("x" * 90_000) and [b.sample_offset for b in blocks] == [36864 * i for i in range(len(blocks))]
@@ -292,14 +328,25 @@ def test_token_counts(spark, tmp_path):
 
 
 def test_token_files(spark, tmp_path):
-    rows = [(i * 7 % 18, t) for i, t in enumerate(ODD)] + [(None, "null id"), (3, "again")]
+    rows = [(i * 7 % 18, t) for i, t in enumerate(ODD)] + [(None, "null id"), (3, "again"), (3, "again"), (-(2**63), "least"), (2**63 - 1, "most")]
     d = write(spark, tmp_path, "documents", rows, "doc_id long, text string")
     lib, start, want = library("word_bpe_49k.json"), 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.xxhash64("text"))
+    for i, t, _ in sorted(map(tuple, df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1] or "")):
         ids = [*ids_of(t, lib), 1]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, token_files.op6_token_files(spark, d).collect()), key=lambda r: r[1]) == want
+    # columns of other names, an empty table, the file of bases, files that can only be read in parts
+    folder = f"file://{tmp_path}/files"
+    parts = token_files.write_token_files(df.withColumn("part", F.lit("x")), P.path("word_bpe_49k.json"), folder)
+    made = sorted(parts.collect())
+    assert np.fromfile(f"{tmp_path}/files/bases", "<u8").tolist() == [*(r.base for r in made), start]
+    stored = token_files.Stored(f"{folder}/000000.offsets", "<u8")
+    whole = stored[0 : stored.size].tolist()
+    stored.map, stored.file = None, pa.OSFile(f"{tmp_path}/files/000000.offsets")
+    assert stored[1:3].tolist() == whole[1:3]
+    assert token_files.read_token_files(token_files.write_token_files(df.where("false"), P.path("word_bpe_49k.json"), folder + "0"), folder + "0").count() == 0
 
 
 def check_packing(rows, pieces, lib):
@@ -404,6 +451,17 @@ def test_tool_calls(spark):
     assert chat_format.link_tool_calls(df.where("false"), {}).count() == 0
 
 
+def test_odd_tool_messages(spark):
+    """What a user may send to break it: names that are no strings, depth, lone surrogates, NaN, huge numbers, long texts."""
+    deep = '{"tool_calls":[{"id":"d","name":"f","arguments":' + '{"a":' * 100_000 + "1" + "}" * 100_000 + "}]}"
+    texts = ['{"tool_calls":[{"id":1,"name":{}}]}', deep, '{"tool_calls":[{"id":"\\ud800","name":"f","arguments":{"n":"\\udfff"}}]}', '{"tool_calls":[{"id":"nan","name":"f","arguments":{"n":NaN}}]}', '{"tool_calls":[{"id":"inf","name":"f","arguments":{"n":1e999}}]}', '{"tool_calls":[{"id":[1],"name":"f","arguments":{"n":"' + "x" * 3_000_000 + '"}},{"id":true,"name":"f"}]}', '{"tool_calls":[{"id":"s","name":"f","arguments":' + '{"a":' * 150 + "1" + "}" * 150 + "}]}", "{" * 1000]
+    df = spark.createDataFrame([(1, i, "assistant", t, "c") for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string, v string")
+    got = {r.call_id: r for r in chat_format.link_tool_calls(df, {"f": {"n": ("string", False)}}).collect()}
+    assert set(got) == {"1", "\\ud800", "[1]", "true", "s"}
+    assert got["1"].errors == "unknown tool; no result" and json.loads(got["\\ud800"].json)["arguments"] == {"n": "\udfff"}
+    assert len(json.loads(got["[1]"].json)["arguments"]["n"]) == 3_000_000 and "a: unknown" in got["s"].errors
+
+
 # 8
 
 
@@ -414,6 +472,11 @@ def test_url_rules(spark):
     got = sorted(((r.page_id, r.rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()), key=str)
     want = [(0, "net/", "block"), (0, "net/", "block"), (1, "example.net/en/", "allow"), (2, "example.com/de/", "block"), (3, "org/fr/", "allow"), *((i, None, "allow") for i in (4, 5, 6, 7, 8)), (9, "net/", "block"), (10, None, "allow"), (11, None, "allow")]
     assert got == sorted(want, key=str)
+    none = url_filter.filter_urls(df, rules.where("false")).collect()
+    assert len(none) == len(got) and all(r.rule is None and r.verdict == "allow" for r in none)
+    assert url_filter.filter_urls(df.where("false"), rules).count() == 0
+    wide = spark.createDataFrame([(1, "http://a.net/" + "x" * 2_000_000, "h", "p", "d")], "page_id long, url string, host string, path string, digest string")
+    assert [(r.rule, len(r.path)) for r in url_filter.filter_urls(wide, rules).collect()] == [("net/", 2_000_001)]
 
 
 # 9
@@ -444,10 +507,94 @@ def test_decontamination(spark, monkeypatch):
                         hit |= set(range(k, k + n))
                         found.add(name)
         want.append((i, len(w), len(hit), sorted(found)))
-    for block in (8 << 20, 60):
+    for block, pairs in ((8 << 20, 1 << 20), (60, 7)):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
         got = decontaminate.mark_contaminated(df, bench)
         assert sorted((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in got.collect()) == sorted(want)
     assert decontaminate.decontaminate(df, bench).count() == sum(len(x[3]) < 2 for x in want)
     assert decontaminate.mark_contaminated(df.where("false"), bench).count() == 0
     assert decontaminate.mark_contaminated(df, bench.where("false")).where("n_hit > 0").count() == 0
+
+
+def test_longest_matches(spark):
+    """Places, lengths and items; long texts of one word; user's columns of the operator's names; items without an id."""
+    r = random.Random(7)
+    w = [f"u{i}" for i in range(200)]
+    bench = spark.createDataFrame([("a", " ".join(w[:20])), ("b", " ".join(w[10:40])), ("c", "same " * 1000), ("short", "one two"), (None, " ".join(w[100:120]))], "item_id string, text string")
+    docs = [(1, " ".join(["x", *w[5:30], "y", *w[12:20]]), 3), (2, "same " * 40_000, 4), (3, "one two " * 3, None), (4, " ".join(w[100:120]), 5), (5, " ".join(r.choices(w, k=300_000)), 6)]
+    got = {d.doc_id: d for d in decontaminate.mark_contaminated(spark.createDataFrame(docs, "doc_id long, text string, _hit int"), bench).collect()}
+    assert [(m.item_id, m.item_at, m["at"], m["length"]) for m in got[1].matches] == [("a", 5, 1, 15), ("b", 0, 6, 20), ("a", 12, 27, 8)]
+    assert got[1].n_hit == 33 and got[1]["items"] == ["a", "b"] and got[1]._hit == 3
+    assert got[2].n_hit == 40_000 and got[2]["items"] == ["c"] and (got[2].matches[0]["at"], got[2].matches[0]["length"]) == (0, 1000)
+    assert got[3].n_hit == 6 and got[3]["items"] == ["short"] and len(got[3].matches) == 3
+    assert got[4].n_hit == 0 and got[5].n_words == 300_000
+
+
+def test_flac_frames_that_hold_the_next_header():
+    """A frame of verbatim samples that hold frame 1's whole header, CRC-8 included."""
+    rng = np.random.default_rng(3)
+    head = flac._header_of(1)
+    raw = rng.integers(0, 256, 576 * 80, dtype=np.uint8)
+    raw[100 : 100 + len(head)] = np.frombuffer(head, np.uint8) ^ 128  # samples are stored with their sign turned
+    coded = flac.encode_many([raw.tobytes()])[0]
+    assert coded.count(head) == 2
+    assert flac.decode_many([coded, coded]) == [raw.tobytes()] * 2
+    for at in (0, 600, 576 * 70 + 5):
+        assert flac.read_from(coded, at, 1000) == raw.tobytes()[at : at + 1000]
+
+
+def plain_flac(media):
+    """A decoder of its own, bit by bit, of the streams written here."""
+    bits, at, out = "".join(f"{b:08b}" for b in media), 32, []
+    last = "0"
+    while last == "0":
+        last, size = bits[at], int(bits[at + 8 : at + 32], 2)
+        at += 32 + 8 * size
+
+    def take(n):
+        nonlocal at
+        at += n
+        return int(bits[at - n : at], 2) if n else 0
+
+    signed = lambda v, n: v - (1 << n) if v >> (n - 1) else v
+    while at < len(bits):
+        assert take(15) == 0b111111111111100 and take(1) == 0 and take(4) == 2 and take(4) == 4 and take(4) == 0 and take(4) == 2
+        lead = take(8)
+        while lead & 64 and lead & 128:
+            take(8)
+            lead = lead << 1 & 255
+        take(8)
+        assert take(1) == 0
+        kind, _, x = take(6), take(1), []
+        if kind == 0:
+            x = [signed(take(8), 8)] * 576
+        elif kind == 1:
+            x = [signed(take(8), 8) for _ in range(576)]
+        else:
+            order = kind - 31 if kind >= 32 else kind - 8
+            x = [signed(take(8), 8) for _ in range(order)]
+            shift, c = 0, [[], [1], [2, -1]][order] if kind < 32 else None
+            if kind >= 32:
+                width, shift = take(4) + 1, take(5)
+                c = [signed(take(width), width) for _ in range(order)]
+            assert take(2) == 0 and take(4) == 0
+            k = take(4)
+            while len(x) < 576:
+                q = bits.index("1", at) - at
+                at += q + 1
+                u = q << k | take(k)
+                x.append((u >> 1 ^ -(u & 1)) + (sum(a * b for a, b in zip(c, x[::-1])) >> shift))
+        at += -at % 8 + 16
+        out += x
+    return bytes(v & 255 ^ 128 for v in out)
+
+
+def test_streams_by_a_plain_decoder():
+    rng = np.random.default_rng(1)
+    loads = [media.payload(t) for t in ODD if len(t or "") < 3000] + [rng.integers(0, 256, 576, dtype=np.uint8).tobytes(), bytes(np.clip(128 + 90 * np.sin(np.arange(1152) / 7), 0, 255).astype(np.uint8))]
+    for p, m in zip(loads, flac.encode_many(loads)):
+        assert plain_flac(m) == p
+        x = np.frombuffer(p, np.uint8).astype(int) - 128
+        rms, zc = (sum(int(v) ** 2 for v in x) / len(x)) ** 0.5, sum((a < 0) != (b < 0) for a, b in zip(x, x[1:])) * 1000 / len(x)
+        assert media.feature(p) == f"rms={rms:.4f};zc={zc:.3f};peak={max(abs(int(v)) for v in x)}"
