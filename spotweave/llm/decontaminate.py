@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, frugal, materialize, table
+from .common import bounded_batches, fitted, frugal, materialize, size_of, table
 
 WINDOW = 8
 LEAST_ITEMS = 2
@@ -200,7 +200,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     hit = next(n for n in ("_hit" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
     own = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(MATCH)), T.StructField(hit, T.BinaryType())]
     schema = T.StructType([*kept.schema.fields, *own])
-    blocks, state, first = _blocks(benchmark), kept, True
+    blocks, state, first = _blocks(benchmark), fitted(kept, 4 * size_of(kept)), True
     while True:
         some = list(islice(blocks, LIVE))
         if not some and not first:

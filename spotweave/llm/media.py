@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import flac
-from .common import bounded_batches, frugal, materialize, table
+from .common import bounded_batches, fitted, frugal, materialize, size_of, table
 
 L, S = T.LongType(), T.StringType()
 FEATURES = [("payload_bytes", L), ("payload_sha256", S), ("tail_crc32", L), ("media_bytes", L), ("media_sha256", S), ("feature", S)]
@@ -58,7 +58,7 @@ def encode_media(df: DataFrame, text: str = "text", media: str = "media") -> Dat
     kept = [f for f in df.schema.fields if f.name not in (text, media, "n_bytes")]
     schema = T.StructType([*kept, T.StructField("n_bytes", L), T.StructField(media, T.BinaryType())])
     names = [f.name for f in kept]
-    spare = df.select(*names, text)
+    spare = fitted(df.select(*names, text), 4 * size_of(df))
 
     def run(batches):
         for b in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, frugal, table
+from .common import bounded_batches, fitted, frugal, size_of, table
 
 DIMENSIONS = 1 << 18
 MAX_LABELLED = 10_000
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, text:
             new = [pa.array(np.round(p.sum(1), 6)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(grade.astype(np.int32)), pa.array(p[:, 1] >= keep_tail)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *ADDED])
 
-    return kept.mapInArrow(frugal(run), schema)
+    return fitted(kept, 4 * size_of(kept)).mapInArrow(frugal(run), schema)
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, keep_tail: float = KEEP_TAIL) -> DataFrame:

@@ -1,11 +1,13 @@
 """Token counts with the whole-token shortcut.
 
 Which vocabulary strings stand alone as one token is proven offline, once for each worker, by
-encoding every one of them (``tokens._whole_tokens``).  A chunk that is such a string counts
-as one; only the rest is merged, each distinct chunk once.  One pass over the texts, no shuffle.
+encoding every one of them (``tokens._whole_tokens``).  A chunk (a text is cut before spaces) that is such a string counts
+as one; only the rest is cut into pre-tokens and merged, each of a batch's distinct chunks once.  One pass over the
+texts, no shuffle.
 
 Null and empty texts count 0.  Repeated rows and other columns are kept; columns of the names
-that the operator adds are replaced.
+that the operator adds are replaced.  An empty table gives an empty one; long texts need no more than themselves
+and their distinct chunks.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import bounded_batches, frugal, table
+from .common import bounded_batches, fitted, frugal, size_of, table
 
 LIMIT = 512
 ADDED = ("n_bytes", "n_tokens", "over_limit")
@@ -38,7 +40,7 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
             size = pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, size, pa.array(n, pa.int64()), pa.array(np.asarray(n) > limit)], [*b.schema.names, *ADDED])
 
-    return kept.mapInArrow(frugal(run), schema)
+    return fitted(kept, 4 * size_of(kept)).mapInArrow(frugal(run), schema)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

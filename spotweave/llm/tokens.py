@@ -280,11 +280,33 @@ def _whole_tokens(path: str) -> dict[str, int]:
     return {s: e.ids[0] for s, e in zip(strings, coded) if len(e.ids) == 1}
 
 
+class Whole(ChunkEncoder):
+    """Every text to the library: for files whose rules are none of those above."""
+
+    def _run(self, texts, want_ids):
+        found = [np.array(self.library.encode(t or "", add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
+        return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+
+
+def _is_plain(kind: dict) -> str | None:
+    """Which of the encoders here a tokenizer's file is for: by its normalizer, pre-tokenizer, model and added tokens."""
+    model, pre, norm = kind["model"], kind.get("pre_tokenizer") or {}, kind.get("normalizer")
+    usual = model.get("type") in (None, "BPE") and not model.get("dropout") and not model.get("byte_fallback") and not model.get("unk_token")
+    if any(not t["content"].startswith("<|") for t in kind.get("added_tokens", ())):
+        return None
+    if usual and norm is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("end_of_word_suffix"):
+        # a token's id must be its merge's rank, or the rank merger would join in another order
+        of = model["vocab"]
+        joined = [of["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        return "bytes" if all(a < b for a, b in zip(joined, joined[1:])) and not model.get("ignore_merges") else None
+    steps = [x["type"] for x in (norm or {}).get("normalizers", ())], [(x["type"], x.get("behavior")) for x in pre.get("pretokenizers", ())]
+    words = (["NFC", "Replace", "Lowercase"], [("Split", "Removed"), ("ByteLevel", None)])
+    return "words" if usual and model.get("end_of_word_suffix") == "</w>" and steps == words else None
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each worker process and file."""
     with open(path, encoding="utf-8") as f:
-        kind = json.load(f)
-    if kind["model"].get("end_of_word_suffix"):
-        return WordBPE(path)
-    return ByteBPE(path)
+        kind = _is_plain(json.load(f))
+    return {"words": WordBPE, "bytes": ByteBPE, None: Whole}[kind](path)

@@ -320,11 +320,25 @@ def test_ids_are_the_librarys(name):
         begin = end
 
 
+def test_other_tokenizers_go_to_the_library(tmp_path):
+    from spotweave.llm import tokens
+
+    lib = json.loads(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    lib["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(lib), encoding="utf-8")
+    coder, own = tokens.encoder(str(tmp_path / "other.json")), tokens.ChunkEncoder(str(tmp_path / "other.json")).library
+    assert type(coder) is tokens.Whole and type(tokens.encoder(P.path("byte_bpe_50k.json"))) is tokens.ByteBPE and type(tokens.encoder(P.path("word_bpe_49k.json"))) is tokens.WordBPE
+    assert coder.encode(pa.array(ODD))[0].tolist() == [i for t in ODD for i in ids_of(t, own)]
+
+
 def test_token_counts(spark, tmp_path):
     d = write(spark, tmp_path, "documents", list(enumerate(ODD)), "doc_id long, text string")
     lib = library("byte_bpe_50k.json")
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.op5_token_counts(spark, d).collect()}
     assert got == {i: (len((t or "").encode()), n, n > 512) for i, t in enumerate(ODD) for n in [len(ids_of(t, lib))]}
+    twice = spark.createDataFrame([(1, "a b c", 7, "x"), (1, "a b c", 7, "x")], "doc_id long, text string, n_tokens int, other string")
+    assert [(r.n_tokens, r.other) for r in token_counts.count_tokens(twice, P.path("byte_bpe_50k.json")).collect()] == [(3, "x")] * 2
+    assert token_counts.count_tokens(twice.where("false"), P.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_token_files(spark, tmp_path):
