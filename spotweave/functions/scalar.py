@@ -8,10 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def half_even(c: Column, digits: int = 0) -> Column:
-    return F.bround(c, digits)
-
-
 def significant(c: Column, digits: int = 4) -> Column:
     """Rounded half to even to so many significant digits; 0 and null stay."""
     power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - (digits - 1))

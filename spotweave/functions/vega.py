@@ -17,16 +17,3 @@ def page(title: str, charts: dict[str, dict], text: str = "") -> str:
     head = "".join(f'<script src="https://cdn.jsdelivr.net/npm/{p}"></script>' for p in ("vega@5", "vega-lite@5", "vega-embed@6"))
     body = "".join(f'<div id="{k}"></div><script>vegaEmbed("#{k}", {json.dumps(c)});</script>' for k, c in charts.items())
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title>{head}</head><body><h1>{html.escape(title)}</h1>{text}{body}</body></html>"
-
-
-def colour_scale(values: list[float], low=(68, 1, 84), high=(253, 231, 37)) -> list[str]:
-    """Hex colours between two ends."""
-    lo, span = min(values, default=0), (max(values, default=1) - min(values, default=0)) or 1
-    return ["#" + "".join(f"{round(a + (b - a) * (v - lo) / span):02X}" for a, b in zip(low, high)) for v in values]
-
-
-def distinct_colours(n: int) -> list[str]:
-    """n hues as far apart as may be."""
-    import colorsys
-
-    return ["#" + "".join(f"{round(255 * c):02X}" for c in colorsys.hls_to_rgb(i / max(n, 1), 0.45 + 0.2 * (i % 2), 0.7)) for i in range(n)]

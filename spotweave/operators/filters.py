@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..functions.shared import cut
 
 log = logging.getLogger(__name__)
 
+#: Fixed value: a normal distribution's standard deviation over its median absolute deviation.
+MAD = 1.4826022185056018
+
 
 def frequent_genes(df: DataFrame, least: int, gene: str = "gene_name") -> DataFrame:
     """Molecules of genes with at least so many molecules."""
@@ -25,8 +29,9 @@ def exclude_genes(df: DataFrame, masks: str, gene: str = "gene_name") -> DataFra
     patterns = [p.strip() for p in masks.split(",") if p.strip()]
     if not patterns:
         return df
-    for p in patterns:
-        if df.where(F.col(gene).rlike(p)).isEmpty():
+    met = df.agg(*(F.max(F.coalesce(F.col(gene).rlike(p), F.lit(False))) for p in patterns)).first()
+    for p, some in zip(patterns, met):
+        if not some:
             log.warning("no gene matches %s", p)
     return df.where(~F.coalesce(F.col(gene).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)))
 
@@ -74,10 +79,10 @@ def small_segments(df: DataFrame, least: int, label: str = "prior_segmentation")
 def long_edges(edges: DataFrame, n_mads: float = 2.0, length: str = "length") -> DataFrame:
     """Edges whose log10 length is below median + n_mads normalised MADs; length 0 stays."""
     logs = edges.withColumn("_l", F.when(F.col(length) > 0, F.log10(length)))
-    median = logs.agg(F.percentile("_l", 0.5)).first()[0]
+    median = quantiles(logs, "_l", [0.5])[0]
     if median is None:
         return edges
-    mad = 1.4826022185056018 * logs.agg(F.percentile(F.abs(F.col("_l") - median), 0.5)).first()[0]
+    mad = MAD * quantiles(logs, F.abs(F.col("_l") - median), [0.5])[0]
     return logs.where(F.coalesce(F.col("_l") < median + n_mads * mad, F.lit(True))).drop("_l")
 
 
@@ -105,7 +110,3 @@ def drop_unused(assigned: DataFrame, least: int, cell: str = "cell") -> tuple[Da
     out = assigned.join(renamed, F.col(cell) == F.col("old"), "left").withColumn(cell, F.coalesce("new", F.lit(0)).cast("int")).drop("old", "new")
     return out, renamed
 
-
-def excluded(c: Column, masks: str) -> Column:
-    patterns = [p.strip() for p in masks.split(",") if p.strip()]
-    return c.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)

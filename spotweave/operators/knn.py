@@ -60,6 +60,25 @@ def _bucket(c, borders: list[float]):
     return F.aggregate(F.array(*(F.lit(float(b)) for b in borders)) if borders else F.array().cast("array<double>"), F.lit(0), lambda n, b: n + F.when(c >= b, 1).otherwise(0))
 
 
+def _reached(q: np.ndarray, far: np.ndarray, xs: np.ndarray, ys: list[np.ndarray], begins: np.ndarray):
+    """Pairs of a query and a tile that its reach may touch, a million or so at a time: strips by x, then tiles by y."""
+    lo, hi = np.searchsorted(xs, q[:, 0] - far, "left"), np.searchsorted(xs, q[:, 0] + far, "right")
+    for s in range(int(lo.min(initial=len(xs) + 1)), int(hi.max(initial=-1)) + 1):
+        r = np.flatnonzero((lo <= s) & (s <= hi))
+        if q.shape[1] > 1:
+            a, z = np.searchsorted(ys[s], q[r, 1] - far[r], "left"), np.searchsorted(ys[s], q[r, 1] + far[r], "right")
+        else:
+            a = z = np.zeros(len(r), np.int64)
+        n = z - a + 1
+        upto, at = np.cumsum(n), 0
+        while at < len(r):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 1_000_000, "right")))
+            k = n[at:end]
+            j = np.repeat(a[at:end] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            yield np.repeat(r[at:end], k), begins[s] + j
+            at = end
+
+
 def knn(points: DataFrame, k: int, queries: DataFrame | None = None, dims: tuple = ("x", "y"), key: str = "molecule_id") -> DataFrame:
     """src, dst, dist, rank (1-based) of the k nearest points of each query; a point is its own first
     neighbour if the queries are the points.  Ties go to the lesser id."""
@@ -96,6 +115,7 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, dims: tuple
     placed = f"id long, {names}, tile long"
     pts = cut(pts.mapInPandas(tile_of, placed), "tiles")
     qs = pts if own else cut(qs.mapInPandas(tile_of, placed), "tiles")
+    placed += ", far double"
     boxes = pts.groupBy("tile").agg(*(f(d).alias(f"{m}_{d}") for d in dims for m, f in (("lo", F.min), ("hi", F.max)))).toPandas()  # MAX_TILES at most
     ids = boxes["tile"].to_numpy()
     low, high = (boxes[[f"{m}_{d}" for d in dims]].to_numpy() for m in ("lo", "hi"))
@@ -106,21 +126,26 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, dims: tuple
     first = cut(qs.groupBy("tile").cogroup(pts.groupBy("tile")).applyInPandas(in_tile, "src long, dst long, dist double"), "first-neighbours")
     bound = first.groupBy("src").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
 
+    box_of = np.full(int(begins[-1]), -1)  # a tile may be empty
+    box_of[ids] = np.arange(len(ids))
+
     def visits(batches):
         for b in batches:
-            q, far = b[dims].to_numpy(), np.where(b["n"].to_numpy() < k, np.inf, b["far"].to_numpy())
-            out = []
-            for lo in range(0, len(b), 512):
-                gap = np.maximum(np.maximum(low[None] - q[lo : lo + 512, None], q[lo : lo + 512, None] - high[None]), 0)
-                near = (np.sqrt((gap**2).sum(2)) <= far[lo : lo + 512, None]) & (ids[None] != b["tile"].to_numpy()[lo : lo + 512, None])
-                r, t = np.nonzero(near)
-                out.append(b.iloc[lo + r][["id", *dims]].assign(tile=ids[t]))
-            if out:
-                yield pd.concat(out)
+            q, far, own = b[dims].to_numpy(), np.where(b["n"].to_numpy() < k, np.inf, b["far"].to_numpy()), b["tile"].to_numpy()
+            for r, t in _reached(q, far, xs_, ys_, begins):
+                some = box_of[t]
+                r, t, some = r[(some >= 0) & (t != own[r])], t[(some >= 0) & (t != own[r])], some[(some >= 0) & (t != own[r])]
+                gap = np.maximum(np.maximum(low[some] - q[r], q[r] - high[some]), 0)
+                near = np.sqrt((gap**2).sum(1)) <= far[r]
+                yield b.iloc[r[near]][["id", *dims]].assign(tile=t[near], far=far[r[near]])
+
+    def in_reach(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = in_tile(left, right)
+        return found[found["dist"].to_numpy() <= np.repeat(left["far"].to_numpy(), min(k, len(right)))]
 
     asked = qs.join(bound.withColumnRenamed("src", "id"), "id", "left").select("id", *dims, "tile", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("far", F.lit(math.inf)).alias("far"))
     visit = asked.mapInPandas(visits, placed)
-    second = visit.groupBy("tile").cogroup(pts.groupBy("tile")).applyInPandas(in_tile, "src long, dst long, dist double")
+    second = visit.groupBy("tile").cogroup(pts.groupBy("tile")).applyInPandas(in_reach, "src long, dst long, dist double")
     return _ranked(first.union(second), k)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..functions.scalar import normal_pdf
-from ..functions.shared import cut
+from ..functions.shared import cut, forget
 from .aggregates import weighted_mean, weighted_sd
 from .graph import neighbour_graph
 from .knn import knn
@@ -17,7 +18,7 @@ def fit_noise(dist: DataFrame, edges: DataFrame, prior: DataFrame | None = None,
     src, dst, weight; prior: molecule_id, prior in [0, 1].
 
     All molecules are updated at once in each step.  The final probabilities leave the neighbours out."""
-    lo, hi = dist.agg(F.percentile("d", [0.1, 0.9])).first()[0]
+    lo, hi = quantiles(dist, "d", [0.1, 0.9])
     sd = (hi - lo) / 4 or 1e-10
     fit = {"mean1": lo, "sd1": sd, "mean2": hi, "sd2": sd, "n1": 0.0, "n2": 0.0}
     border = hi + 3 * sd
@@ -39,7 +40,8 @@ def fit_noise(dist: DataFrame, edges: DataFrame, prior: DataFrame | None = None,
         d1 = F.lit(fit["n1"]) * F.exp(F.coalesce("s1", F.lit(0.0))) * normal_pdf(d, fit["mean1"], fit["sd1"])
         d2 = F.lit(fit["n2"]) * F.exp(F.coalesce("s2", F.lit(0.0))) * normal_pdf(d, fit["mean2"], fit["sd2"])
         p = F.when(out, 0.0).otherwise(d1 / F.greatest(d1 + d2, F.lit(1e-20)))
-        state = cut(joined.select("molecule_id", "d", "c", (F.col("c") + p * (1 - F.col("c"))).alias("p")), "noise")
+        old, state = state, cut(joined.select("molecule_id", "d", "c", (F.col("c") + p * (1 - F.col("c"))).alias("p")), "noise")
+        forget(old)
         new = moments(state)
         change = max(abs(new[k] - fit[k]) / max(abs(fit[k]), 1e-10) for k in ("mean1", "sd1", "mean2", "sd2"))
         fit = fit | new

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import border_edges, delaunay, peel, ring_of
+from ..functions.quantiles import quantiles
 from .knn import knn
 from .ranges import bounding_boxes, points_in_boxes
 
@@ -74,7 +75,7 @@ def polygons_by_z(molecules: DataFrame, most: int = 10) -> DataFrame:
     if len(values) > most:
         log.warning("too many values of z: %d bins are used", most)
         clip = min(1 / most / 4, 0.025)
-        lo, hi = molecules.agg(F.percentile("z", [clip, 1 - clip])).first()[0]
+        lo, hi = quantiles(molecules, "z", [clip, 1 - clip])
         width = (hi - lo) / most or 1.0
         name = F.concat(F.lit("bin"), F.least(F.greatest(F.floor((F.col("z") - lo) / width), F.lit(0)), F.lit(most - 1)).cast("string"))
     each = boundary_polygons(molecules.withColumn("z", name), group="z")

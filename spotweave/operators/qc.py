@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +69,3 @@ def molecule_table(df: DataFrame, run_id: str, has_history: bool = True) -> Data
         out = out.withColumn("assignment_confidence", F.bround("assignment_confidence", 5)) if has_history else out.drop("assignment_confidence")
     return out
 
-
-def hull_of(points: np.ndarray) -> tuple[np.ndarray, float]:
-    h = convex_hull(points)
-    return h, ring_area(h)

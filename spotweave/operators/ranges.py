@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+
 
 def bounding_boxes(df: DataFrame, cell: str = "cell", dims: tuple = ("x", "y")) -> DataFrame:
     return df.where(F.col(cell) > 0).groupBy(cell).agg(*(f(d).alias(f"{d}_{m}") for d in dims for m, f in (("min", F.min), ("max", F.max))))
@@ -13,7 +15,7 @@ def bounding_boxes(df: DataFrame, cell: str = "cell", dims: tuple = ("x", "y"))
 def points_in_boxes(points: DataFrame, boxes: DataFrame, key: str = "molecule_id", box: str = "cell") -> DataFrame:
     """(box, key) of every point in an inclusive box.  A grid as wide as a typical box turns the range join
     into an equi-join; a box is dealt to all grid squares that it touches."""
-    size = boxes.agg(F.percentile(F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")), 0.9)).first()[0]
+    size = quantiles(boxes, F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")), [0.9])[0]
     size = float(size or 0) or 1.0
     square = lambda c: F.floor(F.col(c) / size)
     b = boxes.withColumn("_i", F.explode(F.sequence(square("x_min"), square("x_max")))).withColumn("_j", F.explode(F.sequence(square("y_min"), square("y_max"))))

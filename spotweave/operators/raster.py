@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+from .filters import MAD, dense_numbers
+
 
 def lookup(molecules: DataFrame, mask: DataFrame, name: str = "prior_segmentation") -> DataFrame:
     """The label of the pixel on which each molecule lies (coordinates rounded half to even), else 0."""
@@ -24,8 +27,9 @@ def mask_scale(mask: DataFrame) -> DataFrame:
 
 def median_mad(df: DataFrame, value: str) -> DataFrame:
     """scale and scale_std: median and normalised MAD of a column."""
-    middle = df.agg(F.percentile(value, 0.5).alias("scale"))
-    return df.crossJoin(F.broadcast(middle)).agg(F.first("scale").alias("scale"), (1.4826022185056018 * F.percentile(F.abs(F.col(value) - F.col("scale")), 0.5)).alias("scale_std"))  # middle: one row
+    middle = quantiles(df, value, [0.5])[0]
+    spread = None if middle is None else MAD * quantiles(df, F.abs(F.col(value) - middle), [0.5])[0]
+    return df.sparkSession.createDataFrame([(middle, spread)], "scale double, scale_std double")
 
 
 def label_parts(mask: DataFrame) -> DataFrame:
@@ -37,5 +41,5 @@ def label_parts(mask: DataFrame) -> DataFrame:
     below = pixels.select(F.col("id").alias("a"), ((F.col("row") + 1) * (1 << 31) + F.col("col")).alias("b"))
     edges = right.union(below).join(pixels.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
     found = connected(pixels.select("id"), edges)
-    numbers = found.select("label").distinct().withColumn("new", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")))
+    numbers = dense_numbers(found, ["label"], "new")
     return pixels.join(found.join(numbers, "label").select("id", "new"), "id").select("row", "col", F.col("new").cast("long").alias("label"))

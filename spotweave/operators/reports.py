@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..functions.vega import chart, page
 from .aggregates import histogram
 
@@ -38,7 +39,7 @@ def confidence_bins(molecules: DataFrame) -> DataFrame:
 
 def cells_by_size(cells: DataFrame, bins: int = 30) -> DataFrame:
     """Histogram of molecules in a cell: more than one, and below q.99 / .99."""
-    top = (cells.agg(F.percentile("n_transcripts", 0.99)).first()[0] or 1.0) / 0.99
+    top = (quantiles(cells, "n_transcripts", [0.99])[0] or 1.0) / 0.99
     return histogram(cells.where((F.col("n_transcripts") > 1) & (F.col("n_transcripts") < top)), "n_transcripts", 0.0, max(top / bins, 1.0))
 
 
@@ -57,7 +58,7 @@ def diagnostics_page(molecules: DataFrame, cells: DataFrame, trace: DataFrame |
 def preview_page(molecules: DataFrame, distances: DataFrame, structure: DataFrame | None = None) -> str:
     """The page of a preview: noise, transcripts by gene, and how genes lie to one another."""
     rows = lambda df: [r.asDict() for r in df.collect()]
-    top = distances.agg(F.percentile("d", 0.99)).first()[0] or 1.0
+    top = quantiles(distances, "d", [0.99])[0] or 1.0
     noise = noise_summary(molecules).first()
     charts = {"noise": chart(rows(histogram(distances.where(F.col("d") < top), "d", 0.0, top / 50)), "bar", "Distance to neighbours", x="bin:Q", y="n:Q"), "genes": chart(rows(real_and_noise(molecules).orderBy("gene")), "bar", "Transcripts", x="gene:N", y="n_real:Q")}
     if structure is not None:

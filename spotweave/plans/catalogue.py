@@ -1,19 +1,22 @@
 """The registered queries of the molecule operators, with the SQL that each must equal.
 
-Queries take the whole of their tables.  Where SQL would be too slow on whole tables (nearest neighbours of
-all molecules, triangulations, iterations on their graphs) there is none, and tests/ hold the operator
-against brute force on small fixtures."""
+Queries take the whole of their tables.  Fits that run to their own stops, triangulations, polygons, embeddings and
+layouts have no SQL; tests/test_molecules.py and tests/test_embeddings.py hold their operators against brute force,
+plain numpy or planted truth on small fixtures, but for the layouts, of which only invariants are tested."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
-from ..functions.shared import cut
+from ..functions.shared import cut, shared_dir
 from ..operators import aggregates as A
 from ..operators import clusters, filters, graph, knn, ncv, noise, polygons, qc, ranges, raster, reports, segmentation
-from ..options import SegmentationOptions
+from ..options import DataOptions, SegmentationOptions
+from ..sources import molecules as sources
 from ..sources import sinks
 from ..sources.views import L_SQL, M_SQL, counts, molecules, vectors
 
@@ -344,21 +347,228 @@ def cluster_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(clusters.cluster_expression(clusters.cluster_step(state, edges, x, 3), 3), "e1", "e2", "e3", digits=8)
 
 
-# Graphs of nearest neighbours and all that stands on them: rows only here, brute force in tests/
+# Small operators on views that SQL can make too
 
 
-@query()
+def _values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = molecules(spark, sf_dir)
+    return m, graph.edge_lengths(_chain(m), m)
+
+
+_LENGTH_SQL = "G AS (SELECT src, dst, weight, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS length FROM E JOIN M a ON a.molecule_id = src JOIN M b ON b.molecule_id = dst)"
+
+
+@query(f"""WITH {M_SQL}, {_CHAIN_SQL}, {_LENGTH_SQL}, l AS (SELECT *, CASE WHEN length > 0 THEN log10(length) END AS l FROM G), mid AS (SELECT quantile_cont(l, 0.5) AS m FROM l),
+t AS (SELECT m + 2 * 1.4826022185056018 * (SELECT quantile_cont(abs(l - m), 0.5) FROM l, mid) AS top FROM mid) SELECT src, dst FROM l, t WHERE coalesce(l < top, true)""")
+def long_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.long_edges(_values(spark, sf_dir)[1]).select("src", "dst")
+
+
+@query(f"""WITH {M_SQL}, {_CHAIN_SQL}, {_LENGTH_SQL}, q AS (SELECT quantile_cont(length, 0.3) AS q FROM G), h AS (SELECT src, dst, length, q / greatest(length, q) AS weight FROM G, q WHERE src < dst),
+s AS (SELECT * FROM h UNION ALL SELECT dst, src, length, weight FROM h) SELECT src, dst, round(length, 7) AS length, round(weight, 8) AS weight FROM s""")
+def edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = _values(spark, sf_dir)[1]
+    weighted = graph.edge_weights(lengths)
+    return _rounded(_rounded(graph.symmetric(weighted.where("src < dst")), "length", digits=7), "weight", digits=8)
+
+
+@query(f"""WITH {M_SQL}, {_CHAIN_SQL}, v AS (SELECT molecule_id, x / 100 AS a, y / 100 AS b, confidence AS c, (x / 100 + y / 100 + confidence) / 3 AS m FROM M),
+p AS (SELECT src, dst, weight, (p.a - p.m) * (q.a - q.m) + (p.b - p.m) * (q.b - q.m) + (p.c - p.m) * (q.c - q.m) AS pq, (p.a - p.m) ** 2 + (p.b - p.m) ** 2 + (p.c - p.m) ** 2 AS pp, (q.a - q.m) ** 2 + (q.b - q.m) ** 2 + (q.c - q.m) ** 2 AS qq
+  FROM E JOIN v p ON p.molecule_id = src JOIN v q ON q.molecule_id = dst)
+SELECT src, dst, round(weight * greatest(CASE WHEN pp * qq > 0 THEN pq / sqrt(pp * qq) ELSE 0 END, 0.01), 6) AS weight FROM p""")
+def similarity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    v = m.select("molecule_id", F.array(F.col("x") / 100, F.col("y") / 100, "confidence").alias("vector"))
+    return _rounded(graph.similarity_weights(_chain(m), v).select("src", "dst", "weight"), "weight")
+
+
+@query(f"""WITH {M_SQL}, {_CHAIN_SQL}, d AS (SELECT src, dst, weight * (1 - (1 - b.confidence) * a.confidence) AS weight FROM E JOIN M a ON a.molecule_id = src JOIN M b ON b.molecule_id = dst)
+SELECT src, dst, round(weight, 8) AS weight FROM d WHERE weight > 0.5""")
+def damp_compartments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    probs = m.select("molecule_id", F.col("confidence").alias("nucleus"), (1 - F.col("confidence")).alias("cyto"))
+    return _rounded(graph.damp_compartments(_chain(m), probs, True, 0.5).select("src", "dst", "weight"), "weight", digits=8)
+
+
+@query(f"""WITH {M_SQL}, d AS (SELECT molecule_id, greatest(abs(x / 100 - y / 100), abs(0.5 - confidence)) * confidence AS c FROM M) SELECT round(max(c), 8) AS max_change, round(avg(CASE WHEN c > 1e-7 THEN 1.0 ELSE 0 END), 8) AS share_changed FROM d""")
+def largest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    state = lambda a, b: m.select("molecule_id", F.explode(F.array(F.struct(F.lit(1).alias("j"), a.alias("p")), F.struct(F.lit(2).alias("j"), b.alias("p")))).alias("s")).select("molecule_id", "s.*")
+    before, after = state(F.col("x") / 100, F.lit(0.5)), state(F.col("y") / 100, F.col("confidence"))
+    return _rounded(A.largest_change(before, after, ["molecule_id", "j"], "p", m, "molecule_id"), "max_change", "share_changed", digits=8)
+
+
+@query(f"WITH {M_SQL} SELECT cell, string_agg(molecule_id::VARCHAR, ',' ORDER BY molecule_id) AS ids FROM M WHERE cell > 0 GROUP BY 1")
+def split_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.split_ids(molecules(spark, sf_dir), "cell").select("cell", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query(f"WITH {M_SQL}, s AS (SELECT cell, gene_name, sum(confidence) AS v FROM M WHERE gene_name IS NOT NULL GROUP BY 1, 2 HAVING sum(confidence) > 0.3) SELECT cell, gene_name, round(v / sum(v) OVER (PARTITION BY cell), 8) AS v FROM s")
+def sparse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(A.sparse_counts(molecules(spark, sf_dir), "cell", "gene_name", F.col("confidence"), True, 0.3), "v", digits=8)
+
+
+@query(f"""WITH {M_SQL}, {_CHAIN_SQL}, {_H_SQL} SELECT src, dst, round(avg(CASE WHEN a.guid = b.guid AND a.guid > 0 THEN 1.0 ELSE 0 END), 8) AS share FROM E JOIN H a ON a.molecule_id = src JOIN H b ON b.molecule_id = dst AND b.iter = a.iter GROUP BY 1, 2""")
+def co_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    return _rounded(segmentation.co_assignment(_history(m), _chain(m)), "share", digits=8)
+
+
+@query(f"""WITH {M_SQL}, {_CHAIN_SQL}, s AS (SELECT * FROM M WHERE confidence >= 0.5), p AS (SELECT a.gene_name AS g1, b.gene_name AS g2, sum(weight) AS w FROM E JOIN s a ON a.molecule_id = src JOIN s b ON b.molecule_id = dst GROUP BY 1, 2),
+o AS (SELECT g1 AS g, sum(w) AS w FROM p GROUP BY 1) SELECT g1, g2, round(p.w / greatest(sqrt(a.w * b.w), 0.1), 8) AS v FROM p JOIN o a ON a.g = g1 JOIN o b ON b.g = g2""")
+def cooccurrence_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    return _rounded(A.cooccurrence(_chain(m), m, 0.5), "v", digits=8)
+
+
+@query(f"WITH {M_SQL} SELECT molecule_id, CASE WHEN cell > 0 THEN 'CR7-' || cell ELSE '' END AS cell, cell = 0 AS is_noise, round_even(confidence, 5) AS confidence, round_even(confidence / 3, 5) AS assignment_confidence FROM M")
+def molecule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir).withColumn("assignment_confidence", F.col("confidence") / 3)
+    return qc.molecule_table(m, "R7").select("molecule_id", "cell", "is_noise", "confidence", "assignment_confidence")
+
+
+@query(f"""WITH {M_SQL}, {_H_SQL}, o AS (SELECT molecule_id, x, y, confidence, prior_segmentation AS cell FROM M WHERE prior_segmentation > 0), p AS (SELECT DISTINCT cell, x, y FROM o), s AS (SELECT cell, count(*) AS n, avg(confidence) AS c FROM o GROUP BY 1),
+e AS (SELECT a.cell, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.cell = b.cell AND (a.x, a.y) <> (b.x, b.y) WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.cell = a.cell AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)),
+hl AS (SELECT cell, abs(sum(ax * by_ - bx * ay)) / 2 AS raw FROM e GROUP BY cell), r AS (SELECT cell, {_SIG.format('raw')} AS area FROM hl), l AS (SELECT cell, 5 - min(iter) + 1 AS lifespan FROM H JOIN o USING (molecule_id) WHERE guid = 3 GROUP BY 1)
+SELECT cell, CASE WHEN n > 2 THEN round(area, 6) END AS area, CASE WHEN n > 2 AND area > 0 THEN round({_SIG.format('(n / area)')}, 8) END AS density, round({_SIG.format('(c / 3)')}, 8) AS avg_assignment_confidence, coalesce(lifespan, -1) AS lifespan
+FROM s LEFT JOIN r USING (cell) LEFT JOIN l USING (cell)""")
+def cell_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir).withColumn("cell", F.col("prior_segmentation")).withColumn("assignment_confidence", F.col("confidence") / 3)
+    seen = _history(m).where("guid = 3").join(m.select("molecule_id", "cell"), "molecule_id").select(F.col("cell").alias("guid"), "iter")
+    t = qc.cell_table(m, lifespans=A.lifespan(seen, 5).withColumnRenamed("guid", "cell"))
+    t = t.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("area", "density")})
+    return _rounded(_rounded(t, "area"), "density", "avg_assignment_confidence", digits=8).select("cell", "area", "density", "avg_assignment_confidence", "lifespan")
+
+
+@query(f"""WITH {M_SQL}, k AS (SELECT 'assigned' AS kind, confidence FROM M WHERE cell > 0 UNION ALL SELECT 'noise', confidence FROM M WHERE cell = 0), b AS (SELECT kind, floor(confidence / 0.025)::BIGINT AS bin, count(*) AS n FROM k GROUP BY 1, 2)
+SELECT kind, bin, n, round(n / sum(n) OVER (PARTITION BY kind), 8) AS fraction FROM b""")
+def confidence_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir)
+    odd = m.withColumn("cell", F.when(F.col("molecule_id") % 7 == 0, 0).otherwise(F.col("cell")))
+    return _rounded(reports.confidence_bins(odd), "fraction", digits=8)
+
+
+_SQL["confidence_bins"] = _SQL["confidence_bins"].replace("WHERE cell > 0", "WHERE molecule_id % 7 <> 0 AND cell > 0").replace("WHERE cell = 0", "WHERE molecule_id % 7 = 0 OR cell = 0")
+
+
+@query(f"""WITH {M_SQL}, n AS (SELECT cell, count(*) AS n FROM M WHERE cell > 0 GROUP BY 1), t AS (SELECT quantile_cont(n, 0.99) / 0.99 AS top FROM n), s AS (SELECT floor(n / greatest(top / 30, 1.0))::BIGINT AS bin FROM n, t WHERE n > 1 AND n < top), b AS (SELECT bin, count(*) AS n FROM s GROUP BY 1)
+SELECT bin, n, round(n / sum(n) OVER (), 8) AS fraction FROM b""")
+def cells_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = A.count_array(molecules(spark, sf_dir), "cell").withColumnRenamed("n", "n_transcripts")
+    return _rounded(reports.cells_by_size(per), "fraction", digits=8)
+
+
+@query(f"""WITH {M_SQL}, a AS (SELECT count(*) AS n, max(x) - min(x) AS dx, max(y) - min(y) AS dy FROM M), s AS (SELECT 15 * sqrt(n / 30.0::DOUBLE) AS side, sqrt(dy / dx) AS ratio FROM a), p AS (SELECT side / sqrt(ratio) AS w, side * ratio AS h, least(1.0, 3000 / greatest(side / sqrt(ratio), side * ratio, 1)) AS k FROM s)
+SELECT greatest(1, round_even(w * k, 0))::BIGINT AS width, greatest(1, round_even(h * k, 0))::BIGINT AS height FROM p""")
+def panel_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([reports.panel_size(molecules(spark, sf_dir), 30)], "width long, height long")
+
+
+# Sources and sinks: what is written, read back
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+_LOADED_SQL = f"""WITH {M_SQL}, n AS (SELECT gene_name FROM M GROUP BY 1 HAVING count(*) >= 80), k AS (SELECT * FROM M WHERE gene_name IN (SELECT gene_name FROM n) AND NOT regexp_matches(gene_name, '^g1'))
+SELECT row_number() OVER (ORDER BY x, y, z, gene_name) AS molecule_id, round(x, 6) AS x, round(y, 6) AS y, z::DOUBLE AS z, dense_rank() OVER (ORDER BY gene_name)::INTEGER AS gene, gene_name FROM k"""
+
+
+def _loaded(spark: SparkSession, path: str) -> DataFrame:
+    options = DataOptions(x="px", y="py", gene="name", min_molecules_per_gene=80, exclude_genes="^g1")
+    got, _ = sources.load_molecules(spark, path, options)
+    return got.select("molecule_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "z", "gene", "gene_name")
+
+
+def _renamed_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return molecules(spark, sf_dir).select(F.col("x").alias("px"), F.col("y").alias("py"), "z", F.col("gene_name").alias("name"))
+
+
+@query(_LOADED_SQL)
+def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "molecules.csv")
+    sinks.save_csv(_renamed_molecules(spark, sf_dir), path)
+    return _loaded(spark, path)
+
+
+@query(_LOADED_SQL)
+def load_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "molecules.PARQUET")
+    _renamed_molecules(spark, sf_dir).write.parquet(path)
+    return _loaded(spark, path)
+
+
+@query(f"WITH {L_SQL} SELECT gene, cell, sum(w)::DOUBLE AS n FROM L WHERE cell > 0 GROUP BY 1, 2")
+def counts_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "counts.tsv")
+    sinks.save_counts_tsv(A.count_matrix(counts(spark, sf_dir), gene="gene", weight="w"), path)
+    return sinks.read_counts_tsv(spark, path)
+
+
+@query(f"""WITH {M_SQL}, {_MASK_SQL}, f AS (SELECT * FROM mask2 WHERE label <> 0) SELECT molecule_id, coalesce(label, 0)::BIGINT AS prior_segmentation FROM M LEFT JOIN f ON "row" = round_even(y, 0)::BIGINT AND col = round_even(x, 0)::BIGINT""")
+def mask_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, path = molecules(spark, sf_dir), _fresh(spark, "mask.csv")
+    sinks.save_csv(_mask(m), path)
+    return raster.lookup(m, sources.read_mask(spark, path)).select("molecule_id", "prior_segmentation")
+
+
+@query(f"""WITH {M_SQL}, c AS (SELECT label, row_number() OVER (ORDER BY label) AS code FROM (SELECT DISTINCT prior_segmentation::VARCHAR AS label FROM M WHERE prior_segmentation <> 0)),
+p AS (SELECT molecule_id, coalesce(code, 0) AS code FROM M LEFT JOIN c ON label = prior_segmentation::VARCHAR), n AS (SELECT code FROM p WHERE code > 0 GROUP BY 1 HAVING count(*) >= 60) SELECT molecule_id, CASE WHEN code IN (SELECT code FROM n) THEN code ELSE 0 END AS prior_segmentation FROM p""")
+def prior_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = molecules(spark, sf_dir).withColumn("label", F.col("prior_segmentation").cast("string")).drop("prior_segmentation")
+    return sources.prior_from_column(m, ":label", "0", 60).select("molecule_id", "prior_segmentation")
+
+
+@query(f"""WITH {M_SQL}, k AS (SELECT molecule_id, prior_segmentation % 3 AS a FROM M), r AS (SELECT a, count(*) AS n FROM k GROUP BY 1) SELECT (sum(n) - count(*))::BIGINT AS repeats FROM r""")
+def repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = molecules(spark, sf_dir).select((F.col("prior_segmentation") % 3).alias("a"))
+    return spark.createDataFrame([(sources.repeated_rows(few),)], "repeats long")
+
+
+@query(f"""WITH {M_SQL}, r AS (SELECT count(*) AS n, avg(x) AS x, bool_and(z = 1) AS flat FROM M WHERE z = 1) SELECT n, round(x + 3e-9, 7) AS x, NOT flat AS has_z FROM r""")
+def flat_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = sources.normalise(molecules(spark, sf_dir).where("z = 1").withColumnRenamed("gene_name", "gene"))
+    has = "z" in flat.columns
+    return _rounded(_untied(flat.agg(F.count("*").alias("n"), F.avg("x").alias("x")), "x"), "x", digits=7).withColumn("has_z", F.lit(has))
+
+
+# Graphs of nearest neighbours and all that stands on them
+
+
+def _near_sql(points: str, k: int) -> str:
+    """N: src, dst, dist of the k nearest points, by all pairs."""
+    return f"""N AS (SELECT src, n.id AS dst, n.d AS dist FROM (SELECT a.molecule_id AS src, unnest(min({{'d': sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 'id': b.molecule_id}}, {k})) AS n FROM {points} a, {points} b GROUP BY 1))"""
+
+
+_UNIT = "('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_POINTS_SQL = f"""b AS (SELECT min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) AS most FROM M), s AS (SELECT molecule_id, (x - x0) / (most * 1.1) + 1.01 AS x, (y - y0) / (most * 1.1) + 1.01 AS y FROM M, b),
+w AS (SELECT *, count(*) OVER (PARTITION BY round_even(x, 6), round_even(y, 6)) > 1 AS same FROM s),
+P AS (SELECT molecule_id, x + CASE WHEN same THEN ({_UNIT.format("molecule_id || ':0:x'")} - 0.5) * 2e-5 ELSE 0 END AS x, y + CASE WHEN same THEN ({_UNIT.format("molecule_id || ':0:y'")} - 0.5) * 2e-5 ELSE 0 END AS y FROM w)"""
+_EDGES_SQL = f"""{_POINTS_SQL}, {_near_sql('P', 5)}, u AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM N WHERE src <> dst),
+l AS (SELECT src, dst, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS length FROM u JOIN P p ON p.molecule_id = src JOIN P q ON q.molecule_id = dst)"""
+
+
+def _weights_sql(lengths: str) -> str:
+    return f"""qq AS (SELECT quantile_cont(length, 0.3) AS q FROM {lengths}), h AS (SELECT src, dst, length, q / greatest(length, q) AS weight FROM {lengths}, qq), E AS (SELECT * FROM h UNION ALL SELECT dst, src, length, weight FROM h)"""
+
+
+_KNN_GRAPH_SQL = f"""{_EDGES_SQL}, g AS (SELECT *, CASE WHEN length > 0 THEN log10(length) END AS lg FROM l), mid AS (SELECT quantile_cont(lg, 0.5) AS m FROM g),
+top AS (SELECT m + 2 * 1.4826022185056018 * (SELECT quantile_cont(abs(lg - m), 0.5) FROM g, mid) AS top FROM mid), short AS (SELECT src, dst, length FROM g, top WHERE coalesce(lg < top, true)), {_weights_sql('short')}"""
+
+
+@query(f"WITH {M_SQL}, {_near_sql('M', 6)} SELECT src, dst, round(dist, 9) AS dist, row_number() OVER (PARTITION BY src ORDER BY N.dist, dst)::INTEGER AS rank FROM N")
 def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn.knn(molecules(spark, sf_dir), 6)
+    return _rounded(knn.knn(molecules(spark, sf_dir), 6), "dist", digits=9)
 
 
 def _graph(m: DataFrame, adjacency: str = "knn", keep_long: bool = False) -> DataFrame:
     return cut(graph.neighbour_graph(m, adjacency=adjacency, keep_long=keep_long).select("src", "dst", "length", "weight"), "graph")
 
 
-@query()
+@query(f"WITH {M_SQL}, {_KNN_GRAPH_SQL} SELECT src, dst, round(length, 10) AS length, round(weight, 8) AS weight FROM E")
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(molecules(spark, sf_dir))
+    return _rounded(_rounded(_graph(molecules(spark, sf_dir)), "length", digits=10), "weight", digits=8)
 
 
 @query()
@@ -366,35 +576,54 @@ def delaunay_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(molecules(spark, sf_dir), "triangulation")
 
 
-@query()
+@query(f"""WITH {M_SQL}, {_EDGES_SQL}, {_weights_sql('l')}, s2 AS (SELECT * FROM M WHERE confidence >= 0.95), p2 AS (SELECT a.gene_name AS g1, b.gene_name AS g2, sum(weight) AS w FROM E JOIN s2 a ON a.molecule_id = src JOIN s2 b ON b.molecule_id = dst GROUP BY 1, 2),
+o AS (SELECT g1 AS g, sum(w) AS w FROM p2 GROUP BY 1) SELECT g1, g2, round(p2.w / greatest(sqrt(a.w * b.w), 0.1), 7) AS v FROM p2 JOIN o a ON a.g = g1 JOIN o b ON b.g = g2""")
 def gene_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = molecules(spark, sf_dir)
-    return A.cooccurrence(_graph(m, keep_long=True), m, 0.5)
+    return _rounded(A.cooccurrence(_graph(m, keep_long=True), m), "v", digits=7)
 
 
 def _ncv(m: DataFrame) -> DataFrame:
     return cut(ncv.composition_vectors(m, 10), "ncv")
 
 
-@query()
+_NCV_SQL = f"""{_near_sql('M', 10)}, f AS (SELECT src, min(dist) AS d FROM N WHERE dist > 1e-15 GROUP BY 1), mm AS (SELECT quantile_cont(d, 0.5) AS m FROM f),
+c AS (SELECT src AS molecule_id, gene_name AS gene, sum(1 / greatest(dist, m)) AS v FROM N JOIN M ON molecule_id = dst, mm WHERE gene_name IS NOT NULL GROUP BY 1, 2 HAVING sum(1 / greatest(dist, m)) > 1e-5),
+NCV AS (SELECT molecule_id, gene, v / sum(v) OVER (PARTITION BY molecule_id) AS v FROM c)"""
+_COEXP_SQL = "X AS (SELECT a.gene AS g1, b.gene AS g2, sum(a.v * b.v) AS v FROM NCV a JOIN NCV b USING (molecule_id) GROUP BY 1, 2)"
+
+
+@query(f"WITH {M_SQL}, {_NCV_SQL} SELECT molecule_id, gene, round(v, 8) AS v FROM NCV")
 def composition_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ncv(molecules(spark, sf_dir))
+    return _rounded(_ncv(molecules(spark, sf_dir)), "v", digits=8)
 
 
-@query()
+@query(f"WITH {M_SQL}, {_NCV_SQL} SELECT molecule_id, gene, round(ln(v * 10000 + 1e-5), 6) AS v FROM NCV")
+def log_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ncv.log_values(_ncv(molecules(spark, sf_dir))), "v")
+
+
+@query(f"WITH {M_SQL}, {_NCV_SQL}, {_COEXP_SQL} SELECT g1, g2, round(v, 7) AS v FROM X")
 def coexpression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ncv.coexpression(_ncv(molecules(spark, sf_dir)))
+    return _rounded(ncv.coexpression(_ncv(molecules(spark, sf_dir))), "v", digits=7)
 
 
-@query()
+_GENES_SQL = f"""t AS (SELECT g1, sum(v) AS total, sum(CASE WHEN g1 = g2 THEN v ELSE 0 END) AS own FROM X GROUP BY 1), lim AS (SELECT quantile_cont(own / total, 0.95) AS lim FROM t),
+y AS (SELECT g1, g2, CASE WHEN g1 = g2 THEN least(v, lim * total) ELSE v END AS v FROM X JOIN t USING (g1), lim), al AS (SELECT g1, sum(v) AS a FROM y GROUP BY 1),
+rn AS (SELECT g2, i AS component, sqrt(-2 * ln(greatest({_UNIT.format("'42:' || g2 || ':' || i || ':a'")}, pow(2.0, -33)))) * cos(2 * pi() * {_UNIT.format("'42:' || g2 || ':' || i || ':b'")}) AS r FROM (SELECT DISTINCT g2 FROM y), unnest(generate_series(1, 20)) AS gs(i)),
+GV AS (SELECT g1 AS gene, component, sum(v * r) / any_value(a) AS e FROM y JOIN rn USING (g2) JOIN al USING (g1) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {M_SQL}, {_NCV_SQL}, {_COEXP_SQL}, {_GENES_SQL} SELECT gene, component::INTEGER AS component, round(e, 6) AS e FROM GV")
 def gene_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ncv.gene_vectors(ncv.coexpression(_ncv(molecules(spark, sf_dir))), 20)
+    return _rounded(ncv.gene_vectors(ncv.coexpression(_ncv(molecules(spark, sf_dir))), 20), "e")
 
 
-@query()
+@query(f"WITH {M_SQL}, {_NCV_SQL}, {_COEXP_SQL}, {_GENES_SQL} SELECT molecule_id, (component - 1)::INTEGER AS component, round(sum(v * e), 6) AS e FROM NCV JOIN GV USING (gene) GROUP BY 1, 2")
 def molecule_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _ncv(molecules(spark, sf_dir))
-    return ncv.molecule_vectors(v, cut(ncv.gene_vectors(ncv.coexpression(v), 20), "genes"))
+    made = ncv.molecule_vectors(v, cut(ncv.gene_vectors(ncv.coexpression(v), 20), "genes"))
+    return _rounded(made.select("molecule_id", F.posexplode("vector").alias("component", "e")), "e")
 
 
 @query()
@@ -404,7 +633,7 @@ def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gaussian_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.gaussian_clusters(vectors(spark, sf_dir), 10, 10)
+    return clusters.gaussian_clusters(vectors(spark, sf_dir), 10)
 
 
 @query()
@@ -415,7 +644,12 @@ def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gene_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = molecules(spark, sf_dir)
-    return ncv.gene_structure(A.cooccurrence(_graph(m, keep_long=True), m, 0.5), m)
+    return ncv.gene_structure(A.cooccurrence(_graph(m, keep_long=True), m), m)
+
+
+@query()
+def label_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polygons.label_polygons(_mask(molecules(spark, sf_dir)))
 
 
 @query()
@@ -436,7 +670,10 @@ def molecule_compartments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.compartments(m, _graph(m, "auto", keep_long=True), ["g0", "g1", "g2"], ["g3", "g4", "g5"], SCALE)
 
 
-@query()
+@query(f"""WITH RECURSIVE {M_SQL}, {_KNN_GRAPH_SQL}, inside AS (SELECT src, dst FROM E JOIN M a ON a.molecule_id = src JOIN M b ON b.molecule_id = dst WHERE a.cell = b.cell AND a.cell > 0),
+reach AS (SELECT molecule_id AS a, molecule_id AS b FROM M WHERE cell > 0 UNION SELECT a, dst FROM reach JOIN inside ON src = b),
+part AS (SELECT a, min(b) AS label, count(*) AS n FROM reach GROUP BY 1), best AS (SELECT cell, label, row_number() OVER (PARTITION BY cell ORDER BY n DESC, label) AS r FROM part JOIN M ON molecule_id = a)
+SELECT M.molecule_id, CASE WHEN best.cell IS NOT NULL THEN M.cell ELSE 0 END::INTEGER AS cell FROM M LEFT JOIN part ON a = M.molecule_id LEFT JOIN best ON best.cell = M.cell AND best.label = part.label AND r = 1""")
 def components_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = molecules(spark, sf_dir)
     return graph.split_cells(m.select("molecule_id", "cell"), _graph(m))

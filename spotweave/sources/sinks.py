@@ -7,9 +7,11 @@ import logging
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut, save_file
+
 log = logging.getLogger("spotweave")
 
 
@@ -46,12 +48,27 @@ def save_csv(df: DataFrame, path: str, order: str | None = None) -> None:
 
 
 def wide_counts(counts: DataFrame) -> DataFrame:
-    """gene and one column for each cell, zeros written; a sink's form, for panels that fit in columns."""
+    """gene and one column for each cell, zeros written, for few cells; ``save_counts_tsv`` writes any number."""
     return counts.groupBy("gene").pivot("cell").agg(F.sum("n")).na.fill(0)
 
 
 def save_counts_tsv(counts: DataFrame, path: str) -> None:
-    wide_counts(counts).orderBy("gene").write.mode("overwrite").csv(path, header=True, sep="\t")
+    """gene and one field for each cell, in lines; any number of cells, as no column stands for one."""
+    cells = counts.select("cell").distinct().agg(F.array_sort(F.collect_list("cell")).alias("cells"))  # one number for each cell
+    head = cells.select(F.lit(0).alias("k"), F.lit("").alias("gene"), F.concat(F.lit("gene\t"), F.array_join(F.transform("cells", lambda c: c.cast("string")), "\t")).alias("value"))
+    rows = counts.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("n")).crossJoin(cells)  # cells: one row
+    text = F.array_join(F.transform("cells", lambda c: F.coalesce(F.element_at("n", c).cast("string"), F.lit("0"))), "\t")
+    lines = rows.select(F.lit(1).alias("k"), "gene", F.concat(F.col("gene"), F.lit("\t"), text).alias("value"))
+    head.union(lines).orderBy("k", "gene").select("value").write.mode("overwrite").text(path)
+
+
+def read_counts_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """gene, cell, n of a written matrix."""
+    rows = spark.read.text(path).select(F.split("value", "\t").alias("f"))
+    head = rows.where(F.col("f")[0] == "gene").select(F.col("f").alias("h"))
+    cell = F.explode(F.arrays_zip(F.slice("h", 2, F.size("h") - 1).alias("c"), F.slice("f", 2, F.size("f") - 1).alias("n")))
+    long = rows.where(F.col("f")[0] != "gene").crossJoin(head).select(F.col("f")[0].alias("gene"), cell.alias("x"))  # head: one row
+    return long.select("gene", F.col("x.c").cast("long").alias("cell"), F.col("x.n").cast("double").alias("n")).where("n != 0")
 
 
 def save_counts_table(counts: DataFrame, cells: DataFrame, genes: DataFrame, path: str, attributes: dict | None = None) -> None:
@@ -64,8 +81,8 @@ def save_counts_table(counts: DataFrame, cells: DataFrame, genes: DataFrame, pat
     spark.createDataFrame([(k, str(v)) for k, v in ({"LOOM_SPEC_VERSION": "3.0.0"} | (attributes or {})).items()], "name string, value string").write.mode("overwrite").parquet(f"{path}/attrs")
 
 
-def geojson(polygons: DataFrame, kind: str = "FeatureCollection", run_id: str | None = None) -> DataFrame:
-    """[z,] geojson: one text for each z, or for all.  FeatureCollection leaves out rings of at most three vertices;
+def geojson_parts(polygons: DataFrame, kind: str = "FeatureCollection", run_id: str | None = None) -> DataFrame:
+    """[z,] cell, part: each polygon's text.  FeatureCollection leaves out rings of at most three vertices;
     GeometryCollectionLegacy has numbers for cells."""
     low = kind.lower()
     if low not in ("featurecollection", "geometrycollection", "geometrycollectionlegacy"):
@@ -75,35 +92,53 @@ def geojson(polygons: DataFrame, kind: str = "FeatureCollection", run_id: str |
     shape = F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates"))
     keys = ["z"] if "z" in polygons.columns else []
     if low == "featurecollection":
-        some = polygons.where(F.size("ring") > 3)
         part = F.struct(F.lit("Feature").alias("type"), cell.alias("id"), shape.alias("geometry"))
+        polygons = polygons.where(F.size("ring") > 3)
     else:
-        some = polygons
         part = F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates"), cell.alias("cell"))
-    rows = some.select(*keys, F.struct(F.col("cell").alias("k"), part.alias("p")).alias("s")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("s.k"))).alias("_k"), F.sort_array(F.collect_list(F.struct(F.col("s.k").alias("k"), F.to_json("s.p").alias("p")))).alias("f"))
-    body = F.concat(F.lit("["), F.array_join(F.transform("f", lambda x: x["p"]), ","), F.lit("]"))
-    name, field = ("FeatureCollection", "features") if low == "featurecollection" else ("GeometryCollection", "geometries")
-    return rows.select(*keys, F.concat(F.lit(f'{{"type":"{name}","{field}":'), body, F.lit("}")).alias("geojson"))
+    return polygons.select(*keys, "cell", F.to_json(part).alias("part"))
+
+
+def _ends(kind: str) -> tuple[str, str]:
+    name, field = ("FeatureCollection", "features") if kind.lower() == "featurecollection" else ("GeometryCollection", "geometries")
+    return f'{{"type":"{name}","{field}":[', "]}"
+
+
+def geojson(polygons: DataFrame, kind: str = "FeatureCollection", run_id: str | None = None) -> DataFrame:
+    """[z,] geojson: one text for each z, or for all, for few polygons; ``save_polygons`` writes any number."""
+    keys = ["z"] if "z" in polygons.columns else []
+    parts = geojson_parts(polygons, kind, run_id).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cell", "part"))).alias("f"))
+    begin, end = _ends(kind)
+    return parts.select(*keys, F.concat(F.lit(begin), F.array_join(F.transform("f", lambda x: x["part"]), ","), F.lit(end)).alias("geojson"))
+
+
+def _pieces(parts: DataFrame, kind: str):
+    """A collection's text, polygon by polygon: the driver holds one partition of them at a time."""
+    begin, end = _ends(kind)
+    yield begin
+    for i, r in enumerate(parts.orderBy("cell").select("part").toLocalIterator()):
+        yield ("," if i else "") + r.part
+    yield end
 
 
 def save_polygons(polygons: DataFrame, paths: OutputPaths, kind: str = "FeatureCollection", run_id: str | None = None) -> None:
-    """The 2-D file, and for polygons by z a file that maps each z to its collection.  A result's texts, one for
-    each z, come to the driver one by one."""
+    """The 2-D file, and for polygons by z a file that maps each z to its collection."""
+    spark = polygons.sparkSession
+    parts = cut(geojson_parts(polygons, kind, run_id), "polygons")
     if "z" not in polygons.columns:
-        _write(paths.polygons_2d, geojson(polygons, kind, run_id).first())
+        save_file(spark, paths.polygons_2d, _pieces(parts, kind))
         return
-    found = geojson(polygons, kind, run_id)
-    _write(paths.polygons_2d, found.where("z = '2d'").select("geojson").first())
-    with open(paths.polygons_3d, "w", encoding="utf-8") as f:
-        f.write("{")
-        for i, r in enumerate(found.where("z != '2d'").orderBy("z").toLocalIterator()):
-            f.write(("," if i else "") + json.dumps(r.z) + ":" + r.geojson)
-        f.write("}")
+    save_file(spark, paths.polygons_2d, _pieces(parts.where("z = '2d'"), kind))
+    values = sorted(r.z for r in parts.where("z != '2d'").select("z").distinct().collect())  # a few bins of z
 
+    def by_z():
+        yield "{"
+        for i, z in enumerate(values):
+            yield ("," if i else "") + json.dumps(z) + ":"
+            yield from _pieces(parts.where(F.col("z") == z), kind)
+        yield "}"
 
-def _write(path: str, row) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(row.geojson if row else '{"type":"FeatureCollection","features":[]}')
+    save_file(spark, paths.polygons_3d, by_z())
 
 
 def save_text(path: str, text: str) -> None:
