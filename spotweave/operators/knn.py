@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import cut
 
-TILE = 2000
+TILE = 1000
 #: Tiles whose boxes the driver holds at most; beyond, tiles grow.
 MAX_TILES = 1_000_000
 
@@ -33,7 +33,14 @@ def _nearest(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k:
         d = np.zeros((len(q[lo : lo + step]), len(p)))
         for a in range(q.shape[1]):
             d += (q[lo : lo + step, a, None] - p[None, :, a]) ** 2
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        if 0 < k < len(p):
+            near = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+            far = np.take_along_axis(d, near, 1)
+            tied = np.flatnonzero((d <= far.max(1, keepdims=True)).sum(1) > k)  # equals at the k-th place: the lesser ids
+            near = np.take_along_axis(near, np.argsort(far, axis=1, kind="stable"), 1)
+            near[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+        else:
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
         src.append(np.repeat(qid[lo : lo + step], k))
         dst.append(pid[near].ravel())
         dist.append(np.sqrt(np.take_along_axis(d, near, 1)).ravel())
@@ -88,7 +95,7 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, dims: tuple
     qs = pts if own else queries.select(F.col(key).cast("long").alias("id"), *(F.col(d).cast("double") for d in dims))
     n = pts.count()
     names = ", ".join(f"{d} double" for d in dims)
-    if n <= 2 * TILE:  # few points, a proven bound: every query's task holds them all
+    if n <= 4 * TILE:  # few points, a proven bound: every query's task holds them all
         few = pts.toPandas()
         pid, p = few["id"].to_numpy(), few[dims].to_numpy().reshape(-1, len(dims))
 

@@ -533,6 +533,21 @@ def flat_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_untied(flat.agg(F.count("*").alias("n"), F.avg("x").alias("x")), "x"), "x", digits=7).withColumn("has_z", F.lit(has))
 
 
+@query(f"""WITH {M_SQL}, {_CHAIN_SQL}, q AS (SELECT quantile_cont(x, 0.1) AS lo, quantile_cont(x, 0.9) AS hi FROM M), b AS (SELECT lo, hi, (hi - lo) / 4 AS sd, hi + 3 * (hi - lo) / 4 AS border FROM q),
+z0 AS (SELECT molecule_id, x AS d, x > border AS o, (exp(-0.5 * ((x - lo) / sd) * ((x - lo) / sd)) / (sqrt(2 * pi()) * sd)) AS a, CASE WHEN x > border THEN 1.0 ELSE (exp(-0.5 * ((x - hi) / sd) * ((x - hi) / sd)) / (sqrt(2 * pi()) * sd)) END AS b FROM M, b), z AS (SELECT molecule_id, d, o, a / greatest(a + b, 1e-20) AS p FROM z0),
+f AS (SELECT sum(p) AS n1, sum(p * d) / sum(p) AS m1, greatest(sqrt(greatest(sum(p * d * d) / sum(p) - (sum(p * d) / sum(p)) ** 2, 0)), 1e-10) AS s1, sum(1 - p) AS n2, sum((1 - p) * d) / sum(1 - p) AS m2, greatest(sqrt(greatest(sum((1 - p) * d * d) / sum(1 - p) - (sum((1 - p) * d) / sum(1 - p)) ** 2, 0)), 1e-10) AS s2 FROM z WHERE NOT o), nn AS (SELECT src AS molecule_id, sum(weight * p) AS w1, sum(weight * (1 - p)) AS w2 FROM E JOIN z ON z.molecule_id = dst GROUP BY 1),
+y0 AS (SELECT z.molecule_id, d, o, n1 * exp(coalesce(w1, 0)) * (exp(-0.5 * ((d - m1) / s1) * ((d - m1) / s1)) / (sqrt(2 * pi()) * s1)) AS d1, n2 * exp(coalesce(w2, 0)) * (exp(-0.5 * ((d - m2) / s2) * ((d - m2) / s2)) / (sqrt(2 * pi()) * s2)) AS d2 FROM z LEFT JOIN nn USING (molecule_id), f),
+y AS (SELECT molecule_id, d, o, CASE WHEN o THEN 0 ELSE d1 / greatest(d1 + d2, 1e-20) END AS p FROM y0), g AS (SELECT sum(p) AS n1, sum(p * d) / sum(p) AS m1, greatest(sqrt(greatest(sum(p * d * d) / sum(p) - (sum(p * d) / sum(p)) ** 2, 0)), 1e-10) AS s1, sum(1 - p) AS n2, sum((1 - p) * d) / sum(1 - p) AS m2, greatest(sqrt(greatest(sum((1 - p) * d * d) / sum(1 - p) - (sum((1 - p) * d) / sum(1 - p)) ** 2, 0)), 1e-10) AS s2 FROM y WHERE NOT o),
+h AS (SELECT n1, n2, least(m1, m2) AS m1, greatest(m1, m2) AS m2, CASE WHEN m1 > m2 THEN s2 ELSE s1 END AS s1, CASE WHEN m1 > m2 THEN s1 ELSE s2 END AS s2 FROM g),
+r AS (SELECT molecule_id, CASE WHEN o THEN 0 ELSE n1 * (exp(-0.5 * ((d - m1) / s1) * ((d - m1) / s1)) / (sqrt(2 * pi()) * s1)) / greatest(n1 * (exp(-0.5 * ((d - m1) / s1) * ((d - m1) / s1)) / (sqrt(2 * pi()) * s1)) + n2 * (exp(-0.5 * ((d - m2) / s2) * ((d - m2) / s2)) / (sqrt(2 * pi()) * s2)), 1e-20) END AS c FROM y, h)
+SELECT molecule_id, round(c, 7) AS confidence, CASE WHEN 1 - c > 0.5 THEN 2 ELSE 1 END AS assignment FROM r""")
+def noise_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noise fit's start and one round of it, on distances and a graph that SQL has too."""
+    m = molecules(spark, sf_dir)
+    found, _ = noise.fit_noise(m.select("molecule_id", F.col("x").alias("d")), _chain(m), most=1)
+    return _rounded(found.select("molecule_id", "confidence", "assignment"), "confidence", digits=7)
+
+
 # Graphs of nearest neighbours and all that stands on them
 
 

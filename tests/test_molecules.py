@@ -80,13 +80,24 @@ def test_knn_is_exact(spark, monkeypatch):
     assert all([x for _, x in sorted(got[i + 1])] == want[i].tolist() for i in range(400))
 
 
-def test_delaunay_edges(spark):
-    from spotweave.functions.geometry import delaunay
-
-    df, xy = uniform(spark, 150, 4)
+@pytest.mark.parametrize("seed", [4, 5])
+def test_delaunay_edges(spark, seed):
+    """All edges, those of the hull too, by empty circles: two points are joined if some circle through them, or through them
+    and a third, holds no other."""
+    df, xy = uniform(spark, 60, seed)
     found = {(r.src, r.dst) for r in graph.delaunay_edges(df).collect()}
-    edges = {tuple(sorted((int(t[i]) + 1, int(t[j]) + 1))) for t in delaunay(xy) for i, j in ((0, 1), (1, 2), (0, 2))}
-    assert found <= edges and len(edges - found) < 20
+    n, want = len(xy), set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            for k in range(j + 1, n):
+                (ax, ay), (bx, by), (cx, cy) = xy[i], xy[j], xy[k]
+                d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+                ux = ((ax**2 + ay**2) * (by - cy) + (bx**2 + by**2) * (cy - ay) + (cx**2 + cy**2) * (ay - by)) / d
+                uy = ((ax**2 + ay**2) * (cx - bx) + (bx**2 + by**2) * (ax - cx) + (cx**2 + cy**2) * (bx - ax)) / d
+                r2 = (ax - ux) ** 2 + (ay - uy) ** 2
+                if (np.delete((xy[:, 0] - ux) ** 2 + (xy[:, 1] - uy) ** 2, [i, j, k]) > r2).all():
+                    want |= {(i + 1, j + 1), (j + 1, k + 1), (i + 1, k + 1)}
+    assert found == want
 
 
 def test_delaunay_edges_beyond_the_most_neighbours(spark):
