@@ -10,10 +10,9 @@ white space, unusual characters, the strings of special tokens) go to the librar
 
 from __future__ import annotations
 
-import base64
 import json
-import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +58,8 @@ class _Pool:
 class ChunkEncoder:
     """Ids of whole texts as the library gives them, without added special tokens."""
 
+    UNUSUAL = _UNUSUAL
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -104,7 +105,7 @@ class ChunkEncoder:
     def _run(self, texts: pa.Array, want_ids: bool) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         n = len(texts)
-        odd = pc.match_substring_regex(texts, _UNUSUAL).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.UNUSUAL).to_numpy(zero_copy_only=False)
         usual = texts.filter(pa.array(~odd)) if odd.any() else texts
         parts = pc.split_pattern(self.prepare(usual), "\x00")
         offsets = parts.offsets.to_numpy() - (parts.offsets[0].as_py() if len(parts.offsets) else 0)
@@ -192,54 +193,31 @@ class ByteBPE(ChunkEncoder):
 
 
 class WordBPE(ChunkEncoder):
-    """BPE with word ends: white space is dropped and letters are lower-cased, so chunks are
-    the lower-cased words between spaces."""
+    """BPE with word ends: white space is dropped and letters are lower-cased.  Texts of characters whose class and
+    lower case no Unicode version doubts are cut into pre-tokens in Arrow; each distinct one is merged once."""
 
-    _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    #: Latin letters once lower-cased, and what else no pre-token but a run of signs takes.
+    _LETTER = r"a-z\x{df}-\x{f6}\x{f8}-\x{2af}\x{2c65}\x{2c66}"
+    _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ \t\n\r0-9{_LETTER}]+"
+    _PLAIN = r"\t\n\r\x20-\x7e\x{a1}-\x{a9}\x{ab}-\x{b1}\x{b4}\x{b6}-\x{b8}\x{bb}\x{bf}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20ac}"
+    UNUSUAL = rf"[^{_PLAIN}]|<\|"
 
     def __init__(self, path: str):
         super().__init__(path)
         self.model = self.library.model
         self.byte_chars = _byte_chars()
-        self.pieces: dict[str, list[int]] = {}
 
     def prepare(self, texts):
-        return pc.replace_substring(pc.replace_substring(pc.utf8_lower(texts), " ", "\x00"), "\n", "\x00")
-
-    def _piece(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            chars = self.byte_chars
-            found = [t.id for t in self.model.tokenize("".join([chars[b] for b in piece.encode()]))]
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            if len(piece) <= 64:  # longer ones seldom come again
-                self.pieces[piece] = found
-        return found
+        cut = pc.replace_substring_regex(pc.utf8_lower(texts), self._PIECE, "\x00\\0")
+        for space in " \n\t\r":
+            cut = pc.replace_substring(cut, space, "")
+        return cut
 
     def encode_chunks(self, chunks):
-        flat: list[int] = []
-        lens = np.empty(len(chunks), np.int32)
-        piece, split = self._piece, self._PIECES.findall
-        for i, c in enumerate(chunks):
-            before = len(flat)
-            if c.isalpha():
-                flat += piece(c)
-            elif c[-1:] in ",." and c[:-1].isalpha():
-                flat += piece(c[:-1])
-                flat += piece(c[-1])
-            elif not _NUMBERS.search(c):
-                for p in split(c):
-                    flat += piece(p)
-            else:
-                flat += self.library.encode(c, add_special_tokens=False).ids
-            lens[i] = len(flat) - before
-        return np.array(flat, np.uint32), lens
-
-
-#: Separators that are white space to re alone, numbers that its \d doesn't take, and characters beyond
-#: Latin: such chunks go to the library.
-_NUMBERS = re.compile("[\x1c-\x1f²³¹¼½¾]|[^\x00-\u024f]")
+        chars, tokenize = self.byte_chars, self.model.tokenize
+        found = [[t.id for t in tokenize(c if c.isascii() else "".join([chars[b] for b in c.encode()]))] for c in chunks]
+        lens = np.fromiter(map(len, found), np.int32, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum())), lens
 
 
 def _byte_chars() -> list[str]:
