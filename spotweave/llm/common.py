@@ -74,9 +74,9 @@ def _path(spark: SparkSession, uri: str):
 
 
 
-def materialize(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, what: str, **options) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and no
-    executor's loss makes what stands before it run again.  Its shuffles' files are deleted."""
+    executor's loss makes what stands before it run again.  Its shuffles' files are deleted.  options: the writer's."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
     before = spark.conf.get(CLEANUP, "false")
@@ -84,7 +84,7 @@ def materialize(df: DataFrame, what: str, compression: str = "snappy") -> DataFr
     try:
         # row groups and pages are looked at from the first row on: a hundred long rows would be too many
         small = {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
-        df.write.option("compression", compression).options(**{k: str(v) for k, v in small.items()}).parquet(path)
+        df.write.options(**{k: str(v) for k, v in (small | options).items()}).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

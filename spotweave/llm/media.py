@@ -119,8 +119,10 @@ def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", frames:
 
 
 def store_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """``encode_media``'s table, written to the shared folder, as it is read back from there."""
-    return materialize(encode_media(df, text, media), "media", "zstd")
+    """``encode_media``'s table, written to the shared folder, as it is read back from there.  Streams that repeat
+    others near them take little room."""
+    packed = {"compression": "zstd", "parquet.compression.codec.zstd.level": 9, "parquet.page.size": 8 << 20}
+    return materialize(encode_media(df, text, media), "media", **packed)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
