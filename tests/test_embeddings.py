@@ -95,3 +95,13 @@ def test_label_polygons_go_round_their_pixels(spark):
         xs, ys = zip(*got[cell])
         area = abs(sum(a * d - b * c for (a, b), (c, d) in zip(got[cell], got[cell][1:] + got[cell][:1]))) / 2
         assert (min(xs), max(xs), min(ys), max(ys)) == (lo, hi, 0, 7) and area == (hi - lo) * 7
+
+
+def test_labels_and_cells_in_a_line_have_no_polygon(spark):
+    line, block = [(0, c, 1) for c in range(5)], [(r, c, 2) for r in range(2, 5) for c in range(3)]
+    mask = lambda rows: spark.createDataFrame(rows, "row long, col long, label long")
+    assert [r.cell for r in polygons.label_polygons(mask(line + block)).collect()] == [2]
+    assert polygons.label_polygons(mask(line)).collect() == []
+    points = [(i, float(c), float(r), cell) for i, (r, c, cell) in enumerate(line + block)]
+    cells = spark.createDataFrame(points, "molecule_id long, x double, y double, cell int")
+    assert [r.cell for r in polygons.boundary_polygons(cells).collect()] == [2]
