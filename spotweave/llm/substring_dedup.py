@@ -18,8 +18,9 @@ ANCHOR-word runs; equal windows have equal anchors, so windows are dealt out by
    exactly: all units stand on their anchor, so each is compared with the shard's first unit by one
    join.  What they share goes; a window that reaches further holds the first word that differs,
    to the left or to the right, and only units with that same word in that place can share it.  So
-   the pieces are dealt out anew by (shard, side, distance, word), until shards are small.  What is
-   still large after LEVELS rounds (one word repeated over and over) has its windows hashed
+   the pieces are dealt out anew by (shard, side, distance, word), until shards are small.  A window that
+   reaches further on both sides goes with the left, so each window is in one piece and the rounds never
+   make more windows than there were.  What is still large after LEVELS rounds has its windows hashed
    (128 bits) and counted in an aggregation, which no key can overload.
 4. Spans return to their documents by one join.
 
@@ -185,10 +186,8 @@ def _contexts(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
                 words = words_of(opened.decompress(raw))
                 for u in units:
                     own = words[u["at"] : u["at"] + u["n"] + length - 1]
-                    # in large shards a unit stands on its anchor, on each if there are several
-                    places = np.flatnonzero(runs(hashes(own), anchor).view(np.int64) == u["anchor"]).tolist() if u["large"] else [0]
-                    for pos in places:
-                        for c, v in zip(cols, (u["anchor"], u["large"], nul, doc, rid, u["at"], u["at"], pos, b" ".join(own))):
+                    for lo, hi, pos in _standing(np.flatnonzero(runs(hashes(own), anchor).view(np.int64) == u["anchor"]).tolist(), len(own), anchor, length) if u["large"] else [(0, len(own), 0)]:
+                        for c, v in zip(cols, (u["anchor"], u["large"], nul, doc, rid, u["at"] + lo, u["at"], pos - lo, b" ".join(own[lo:hi]))):
                             c.append(v)
                 if len(cols[0]) > 4000:
                     yield _batch(cols, "linlliiib", CONTEXT)
@@ -199,6 +198,17 @@ def _contexts(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
     return rows.select("nul", "doc", "rid", "pressed").join(listed, "rid").mapInArrow(frugal(run), CONTEXT)
 
 
+def _standing(places: list[int], n: int, anchor: int, length: int) -> list[tuple[int, int, int]]:
+    """In large shards a unit (of n words) stands on its anchor, on each if there are several: (begin, end) of the windows
+    whose first anchor stands at the place, and the place.  So each window is in one of them."""
+    out = []
+    for before, pos in zip([-1, *places], places):
+        lo, hi = max(0, before + 1, pos + anchor - length), min(n, pos + length)
+        if hi - lo >= length:
+            out.append((lo, hi, pos))
+    return out
+
+
 def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
     """Streams each shard's units, in the order of documents, through its automaton."""
 
@@ -271,8 +281,8 @@ def _compared(length: int):
                     new = xxhash.xxh64_intdigest(b"%d/l/%d/" % (key, left) + own[far]) - (1 << 63)
                     put(1, new, nul, doc, rid, at, unit, pos, 0, b" ".join(own[: far + length]))
                 far = pos + right
-                begin = max(0, far - length + 1)
-                if far < len(own) and begin <= pos and len(own) - begin >= length:
+                begin = max(0, pos - left, far - length + 1)  # windows that reach further on the left are in that piece
+                if far < len(own) and len(own) - begin >= length:
                     new = xxhash.xxh64_intdigest(b"%d/r/%d/" % (key, right) + own[far]) - (1 << 63)
                     put(1, new, nul, doc, rid, at + begin, unit, pos - begin, 0, b" ".join(own[begin:]))
             yield _batch(cols, "ilnlliiiib", PIECE)

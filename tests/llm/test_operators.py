@@ -87,6 +87,26 @@ def test_passages_repeated_within_a_document(spark, tmp_path, monkeypatch, shard
     assert sorted(map(tuple, substring_dedup.op1_substring_dedup(spark, d).collect()), key=str) == removed(rows)
 
 
+def test_large_shards_hold_each_window_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD", 2)
+    r = random.Random(9)
+    some = lambda n, of: [r.choice(of) for _ in range(n)]
+    passage = some(60, "abcdefgh")
+    docs = [(i, " ".join([*some(r.randint(0, 30), "st"), *("x y z".split()[: 1 + i % 3] * 150)[: 120 + i], *some(30, "uv"), *passage, *some(30, "uv")])) for i in range(24)]
+    write_, held = substring_dedup.materialize, []
+
+    def seen(df, what, **options):
+        out = write_(df, what, **options)
+        if what in ("contexts", "pieces"):
+            held.append(out.selectExpr("sum(size(split(cast(words AS string), ' ')) - 49)").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", seen)
+    d = write(spark, tmp_path, "documents", docs, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.op1_substring_dedup(spark, d).collect()), key=str) == removed(docs)
+    assert len(held) > 1 and max(held) <= sum(len(t.split()) - 49 for _, t in docs)
+
+
 def test_cut_texts_keep_all_columns(spark):
     p = " ".join(f"p{i}" for i in range(60))
     df = spark.createDataFrame([(1, f"a\n{p} b", 9, "s", 5), (2, f"c  {p}\nd", 9, "t", 6)], "doc_id long, text string, n_chars long, doc string, spans int")
