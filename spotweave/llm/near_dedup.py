@@ -9,6 +9,9 @@
    shingles are mixed up only if 32 bits + log2(groups) agree: with GROUP_BYTES a group holds 2 million
    entries at most, and a shingle meets a foreign one with a chance under 0.0005 at every size of the corpus.  The frequency
    goes back to the block as a byte, its logarithm in steps of 1/STEPS octave (6 % at most from the true one).
+   What one of RARE documents or fewer has is rare, and all that is rare weighs the same.  Without that bound a
+   group of copies made its own shingles lighter than the words in which a copy differs, the more so the larger
+   the group and the corpus, and near copies were lost.
 3. Every node is sampled BANDS x ROWS times (Ioffe's scheme: the chance that two samples agree is
    the weighted Jaccard similarity); ROWS samples make a band's key.
 4. Nodes that share a band's key are candidates.  In each bucket all are compared with the least node, its hub; hubs
@@ -49,6 +52,8 @@ BANDS, ROWS = 10, 3
 STEPS = 6
 #: Bytes of entries in a group that counts document frequencies.
 GROUP_BYTES = 8 << 20
+#: A shingle that at most one of so many documents has is rare; rarer ones weigh no more.
+RARE = 100
 SMALL = 32
 #: Nodes that meet one copy of their hub.
 AT_HUB = 256
@@ -201,7 +206,7 @@ def _frequencies(blocks: DataFrame) -> DataFrame:
 
 
 def _idf(codes: np.ndarray, n_docs: int) -> np.ndarray:
-    return np.log1p(n_docs / np.exp2(codes.astype(np.float64) / STEPS))
+    return np.log1p(np.minimum(n_docs / np.exp2(codes.astype(np.float64) / STEPS), RARE))
 
 
 def _signatures(blocks: DataFrame, nodes: DataFrame, n_docs: int) -> DataFrame:

@@ -267,6 +267,24 @@ def test_near_duplicates(spark, tmp_path, monkeypatch, small):
     assert kept.count() == len({c for _, c in want})
 
 
+def test_near_copies_in_a_large_group(spark, tmp_path):
+    """A group of copies doesn't make what its members share lighter than what each has alone."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    docs = [" ".join(base)]
+    for c in range(40):
+        w = list(base)
+        for i in range(r.randrange(10, 40), 190, 48):
+            w[i] = f"e{c}x{i}"
+        docs.append(" ".join(w))
+    docs += [" ".join(f"f{k}x{i}" for i in range(7)) for k in range(6000)]
+    framed = [f"c{i}" for i in range(60)]
+    docs += [" ".join([*framed, *(f"g{k}x{i}" for i in range(20))]) for k in range(1500)]
+    d = write(spark, tmp_path, "documents", list(enumerate(docs)), "doc_id long, text string")
+    of = {x.doc_id: x.class_id for x in near_dedup.op4_near_dedup(spark, d).collect()}
+    assert all(of[i] == (0 if i <= 40 else i) for i in range(len(docs)))
+
+
 def test_document_frequencies(spark, monkeypatch):
     """The blocks' codes against true counts, with several groups."""
     monkeypatch.setattr(near_dedup, "GROUP_BYTES", 2000)
