@@ -53,7 +53,7 @@ STEPS = 6
 #: Bytes of entries in a group that counts document frequencies.
 GROUP_BYTES = 8 << 20
 #: A shingle that at most one of so many documents has is rare; rarer ones weigh no more.
-RARE = 100
+RARE = 200
 SMALL = 32
 #: Nodes that meet one copy of their hub.
 AT_HUB = 256
