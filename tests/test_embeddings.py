@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotweave.functions import quantiles as Q
-from spotweave.operators import clusters, knn, ncv, polygons
+from spotweave.operators import clusters, graph, knn, ncv, polygons
 
 
 def vector_table(spark, x):
@@ -105,3 +105,23 @@ def test_labels_and_cells_in_a_line_have_no_polygon(spark):
     points = [(i, float(c), float(r), cell) for i, (r, c, cell) in enumerate(line + block)]
     cells = spark.createDataFrame(points, "molecule_id long, x double, y double, cell int")
     assert [r.cell for r in polygons.boundary_polygons(cells).collect()] == [2]
+
+
+def test_parts_of_long_chains():
+    """Components of random edges and of a chain in random order, against a search."""
+    rng = np.random.default_rng(6)
+    chain = rng.permutation(3000)
+    for n, a, b in ((3000, chain[:-1], chain[1:]), (2000, rng.integers(0, 2000, 1200), rng.integers(0, 2000, 1200))):
+        near = {}
+        for x, y in zip(a.tolist(), b.tolist()):
+            near.setdefault(x, []).append(y)
+            near.setdefault(y, []).append(x)
+        want = [-1] * n
+        for i in range(n):
+            todo = [i] if want[i] < 0 else []
+            while todo:
+                j = todo.pop()
+                if want[j] < 0:
+                    want[j] = i
+                    todo += near.get(j, [])
+        assert graph.parts(n, a, b).tolist() == want
