@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spotweave.functions import geometry, near
 from spotweave.functions import quantiles as Q
-from spotweave.operators import clusters, graph, knn, ncv, polygons
+from spotweave.operators import clusters, graph, knn, ncv, polygons, segmentation
+from spotweave.sources import sinks
 
 
 def vector_table(spark, x):
@@ -125,3 +127,59 @@ def test_parts_of_long_chains():
                     want[j] = i
                     todo += near.get(j, [])
         assert graph.parts(n, a, b).tolist() == want
+
+
+def test_neighbours_in_many_dimensions_by_blocks(spark, monkeypatch):
+    """Blocks of queries and points, with equal points and equal distances."""
+    monkeypatch.setattr(knn, "TILE", 12)
+    monkeypatch.setattr(knn, "BLOCK", 40)
+    p = np.concatenate([np.random.default_rng(8).normal(size=(90, 6)), np.ones((30, 6))])
+    dims = tuple("abcdef")
+    table = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "molecule_id long, " + ", ".join(f"{d} double" for d in dims))
+    got = knn.knn(table, 4, None, dims).toPandas().sort_values(["src", "rank"])
+    d = sum((p[:, None, a] - p[None, :, a]) ** 2 for a in range(6))
+    assert got["dst"].to_numpy().reshape(-1, 4).tolist() == np.argsort(d, axis=1, kind="stable")[:, :4].tolist()
+
+
+def test_stars_of_dense_groups():
+    """Groups of points nearly on one place: as many edges and triangles as a triangulation has."""
+    rng = np.random.default_rng(9)
+    p = np.repeat(rng.random((8, 2)), 40, 0) + (rng.random((320, 2)) - 0.5) * 2e-5
+    src, dst, sure = near.stars(p, np.arange(len(p)), np.full(len(p), np.inf), (-1000, -1000, 1000, 1000))
+    tri, hull = geometry.delaunay(p), len(geometry.convex_hull(p)) - 1
+    edges = {(min(t[i], t[j]), max(t[i], t[j])) for t in tri.tolist() for i, j in ((0, 1), (1, 2), (0, 2))}
+    assert len(tri) == 2 * len(p) - 2 - hull
+    for i in np.flatnonzero(sure):
+        assert set(dst[src == i].tolist()) == {a + b - i for a, b in edges if i in (a, b)}
+    assert sure.sum() > 250
+
+
+def test_edges_meet_histories_once(spark, monkeypatch):
+    h = spark.createDataFrame([(i, m, g) for i, g1, g2 in ((1, 5, 5), (2, 5, 6), (3, 0, 0)) for m, g in ((1, g1), (2, g2))], "iter int, molecule_id long, guid long")
+    found = segmentation.co_assignment(h, spark.createDataFrame([(1, 2), (2, 1), (1, 9)], "src long, dst long"))
+    assert sorted((r.src, r.dst, r.share) for r in found.collect()) == [(1, 2, 1 / 3), (2, 1, 1 / 3)]
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 2 and not any("iter" in line for line in joins)
+    monkeypatch.setattr(segmentation, "MOLECULES", 1)
+    monkeypatch.setattr(segmentation, "MAX_SENT", 0)
+    best = segmentation.by_history(h, spark.createDataFrame([(5,)], "guid long"), spark.createDataFrame([(m,) for m in range(1, 8)], "molecule_id long"))
+    assert {r.molecule_id: (r.guid, r.assignment_confidence) for r in best.collect()} == {1: (5, 2 / 3), 2: (0, 1 / 3)} | {m: (0, 0.0) for m in range(3, 8)}
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("RepartitionByExpression [molecule_id" in line and line.rstrip().endswith(", 7") for line in plan.splitlines()) == 2
+
+
+def test_lengths_and_strong_edges_are_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, what, real=graph.cut: written.append(what) or real(df, what))
+    edges = spark.createDataFrame([(1, 2, 0.9), (2, 1, 0.1)], "src long, dst long, weight double")
+    probs = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.5, 0.5)], "molecule_id long, nucleus double, cyto double")
+    assert [r.src for r in graph.damp_compartments(edges, probs, True, 0.5).collect()] == [1] and written == ["strong"]
+    assert graph.damp_compartments(edges, probs, True, 1.0).count() == 2
+
+
+def test_counts_of_gaps(spark, tmp_path):
+    rows = [("a", 3, 1.5), ("a", 90, 2.0), ("b", 7, 1.0), ("c", 1, 4.0), ("c", 3, 0.5)]
+    sinks.save_counts_tsv(spark.createDataFrame(rows, "gene string, cell long, n double"), f"{tmp_path}/c.tsv")
+    lines = [r.value.split("\t") for r in spark.read.text(f"{tmp_path}/c.tsv").collect()]
+    assert lines == [["gene", "1", "3", "7", "90"], ["a", "0", "1.5", "0", "2.0"], ["b", "0", "0", "1.0", "0"], ["c", "4.0", "0.5", "0", "0"]]
+    assert sorted(map(tuple, sinks.read_counts_tsv(spark, f"{tmp_path}/c.tsv").collect())) == sorted(rows)
